@@ -121,3 +121,17 @@ def components(links: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     if not done:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return spark.read.schema("a long, b long").parquet(old).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: int, name: str) -> DataFrame:
+    """A bounded sample to learn from: doc_id, text, y of at most ``most`` labelled documents of each class.
+
+    ``trains`` says, over doc_id, which rows of ``labels`` may be learned from. The
+    sample is the first by a hash of doc_id, so it does not hang on the order of
+    rows. Null labels and identifiers are left out; of several labels of a
+    document the largest counts. The identifiers, at most 2 * ``most``, are broadcast.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & trains).groupBy("doc_id").agg(F.max("y").alias("y"))
+    picked = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    ids = F.broadcast(picked[0].unionByName(picked[1]))
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id"), name)

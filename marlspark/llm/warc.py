@@ -238,3 +238,15 @@ def round_trip(pages: DataFrame, segment_bytes: int = 32 << 10) -> DataFrame:
     revisit = found.filter("record_type = 'revisit'").join(kept, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("of")), "left")
     lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id").cast("string"))).cast("long")
     return response.unionByName(revisit.select("page_id", F.coalesce("bytes", lost).alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
+
+
+#: ``round_trip`` for DuckDB over ``pages``: base32 from the hexadecimal digest, five digits (four letters) at a time.
+SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+k as (select h, max(page_id) keep from p group by h),
+d as (select page_id, octet_length(encode(p.h))::bigint payload_bytes, sha1(p.h) x, keep from p join k using (h))
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 1 + 5 * i::int, 5))::int >> s::int) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') payload_digest,
+  case when page_id = keep or keep is null then 'response' else 'revisit' end record_type,
+  case when page_id <> keep or (page_id is null and keep is not null) then keep end refers_to
+from d"""
