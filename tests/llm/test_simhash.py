@@ -73,3 +73,11 @@ def test_bit_sums():
 
 def test_empty(spark):
     assert H.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(5, text, "e"), (3, text.upper(), "c"), (3, text.upper(), "c"), (9, "something else that is not at all like it", "i"), (None, text, "n"), (None, "quite alone over here, with nobody about", "n"), (7, None, "g"), (6, "", "f")]
+    got = H.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    assert sorted(str((r.doc_id, r.root)) for r in got) == ["(3, 'c')", "(6, 'f')", "(9, 'i')", "(None, 'n')"]
+    assert H.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
