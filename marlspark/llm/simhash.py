@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, components, utf8, written
@@ -65,13 +65,17 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, a hash of the text, and the fingerprint as a signed long."""
 
     def batch(rows: pa.RecordBatch) -> dict:
         found = np.array([fingerprint(t, shingle) for t in rows.column("text").to_pylist()], np.uint64)
-        return {"doc_id": rows.column("doc_id"), "print": pa.array(found.view(np.int64))}
+        return {"doc_id": rows.column("doc_id"), "th": rows.column("th"), "print": pa.array(found.view(np.int64))}
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text")), batch, "doc_id long, print long")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), utf8("text")), batch, "doc_id long, th long, print long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def forest(prints: np.ndarray, radius: int, sub: int = 512) -> list[tuple[int, int]]:
@@ -136,13 +140,38 @@ def _few(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return pairs if len(pairs) < len(x) else forest(prints, radius)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: fingerprint (16 hex digits) and component_id (the smallest doc_id reachable)."""
+def grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, th (a hash of the text), print, root (names the component) and component_id."""
     found = written(fingerprints(docs, shingle), "simhash-prints")
     # one row for each fingerprint, whatever the number of copies
     nodes = written(found.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("print"), radius, tile), "simhash-links")
     placed = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    owned = placed.join(smallest, "root").select("print", "component_id")
-    return found.join(owned, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    owned = placed.join(smallest, "root").select("print", "root", "component_id")
+    return found.join(owned, "print")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: fingerprint (16 hex digits) and component_id (the smallest doc_id reachable)."""
+    return grouped(docs, radius, shingle, tile).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048) -> DataFrame:
+    """One row of ``docs(doc_id, text, ...)`` for each component: that of the smallest doc_id.
+
+    Of several rows with that doc_id the one with the least hash of its text
+    stays; of rows equal in both, one. A null doc_id stays only without others.
+    """
+    found = written(grouped(docs, radius, shingle, tile), "simhash-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    kept = found.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "kept")
+    rivals = written(found.join(kept, "root").select(F.col("doc_id").alias("rival_id"), F.col("th").alias("rival_th"), F.col("kept").eqNullSafe(place).alias("stays")), "simhash-rivals")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("rival_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("rival_th"))
+    left = docs.join(rivals.filter("not stays"), same, "left_anti")
+    twice = rivals.filter("stays").groupBy("rival_id", "rival_th").count().filter("count > 1").drop("count")
+    if twice.isEmpty():
+        return left
+    # equal rows: only these are shuffled to keep one
+    alone = left.join(twice, same, "left_anti")
+    return alone.unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
