@@ -1 +1 @@
-"""Package part."""
+"""Types, coercion and formatting."""

@@ -1 +1 @@
-"""Package part."""
+"""Joins, aggregates, sorting and changes, as DataFrame operations."""

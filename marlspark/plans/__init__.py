@@ -1 +1 @@
-"""Package part."""
+"""From a statement's text to a plan of DataFrame operations."""

@@ -1 +1 @@
-"""Package part."""
+"""Files and tables."""

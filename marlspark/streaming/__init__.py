@@ -1 +1 @@
-"""Package part."""
+"""Statements over streams."""
