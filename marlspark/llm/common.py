@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where spark.checkpoint.dir is unset and the master is local, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/marlspark"
+from ..sources.storage import delete, scratch, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,44 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    A local session without that setting gets ``LOCAL_CHECKPOINTS``; a cluster
-    without it is an error, as a machine's own folder would lose data there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = LOCAL_CHECKPOINTS
-        os.makedirs(found, exist_ok=True)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/marlspark-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    fs.deleteOnExit(target)
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and lost executors cost no rerun."""
-    path = scratch(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
     """``fn`` maps each Arrow batch to the output columns (lists or arrays of one length)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -114,7 +73,7 @@ def components(links: DataFrame, label: str, rounds: int = 60) -> DataFrame:
         now = spark.read.schema("a long, b long").parquet(new)
         # a set of stars: no root is a leaf, and each leaf has one root
         done = now.groupBy("a").count().filter("count > 1").limit(1).count() == 0 and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0
-        drop_scratch(spark, old)
+        delete(spark, old)
         old = new
         if done:
             break

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch, written
+from ..sources.storage import delete, scratch, written
 
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
@@ -232,7 +232,7 @@ def round_trip(pages: DataFrame, segment_bytes: int = 32 << 10) -> DataFrame:
     write(pages, path, segment_bytes)
     # without the payloads the records are small: one pass over the archives
     found = written(read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", "refers_to"), "warc-index")
-    drop_scratch(spark, path)
+    delete(spark, path)
     response = found.filter("record_type = 'response'")
     kept = response.select(F.col("page_id").alias("to"), F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("bytes")).distinct()
     revisit = found.filter("record_type = 'revisit'").join(kept, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("of")), "left")
