@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 from ..functions.types import ColumnDef, kind_of
 
 
-def parquet_columns(spark: SparkSession, path: str) -> list[ColumnDef]:
-    """The columns that have a kind in the dialect, in file order; others (arrays, maps, ...) are left out."""
-    return [ColumnDef(f.name, k) for f in spark.read.parquet(path).schema if (k := kind_of(f.dataType)) is not None]
+def columns_of(frame: DataFrame) -> list[ColumnDef]:
+    """The columns that have a kind in the dialect, in their order; others (arrays, maps, ...) are left out."""
+    return [ColumnDef(f.name, k) for f in frame.schema if (k := kind_of(f.dataType)) is not None]
 
 
 def csv_frame(spark: SparkSession, path: str, columns: list[ColumnDef]) -> DataFrame:

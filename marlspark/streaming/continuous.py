@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..errors import InternalError, TableNotFoundError
-from ..functions.types import ColumnDef, kind_of
+from ..functions.types import ColumnDef
 from ..plans import analyzer, parser, planner
 from ..plans.statements import Select
+from ..sources.files import columns_of
 
 
 def continuous(text: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -26,6 +27,6 @@ def continuous(text: str, tables: dict[str, DataFrame]) -> DataFrame:
     def columns(name: str) -> list[ColumnDef]:
         if name not in tables:
             raise TableNotFoundError(name)
-        return [ColumnDef(f.name, k) for f in tables[name].schema if (k := kind_of(f.dataType)) is not None]
+        return columns_of(tables[name])
 
     return planner.plan(analyzer.analyze(select, columns), tables.__getitem__)

@@ -12,7 +12,9 @@ from marlspark.functions.types import ColumnDef, Kind
 
 @pytest.fixture
 def s(spark):
-    return Session.temporary(spark)
+    from marlspark.sources import storage
+
+    return Session(Database.create(spark, storage.scratch(spark, "test")))
 
 
 SCRIPTS = [
