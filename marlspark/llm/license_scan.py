@@ -8,6 +8,9 @@ mandatory and must match word for word. A template is compiled into a
 bit-parallel automaton over tokens: one bit per position, a transition mask per
 token and an epsilon mask per position.
 
+The score is 1 if a template accepts a part of the text, 0.5 if there is only a
+phrase of the base scan, else 0.
+
 Defined cases: a null or empty text has no words, no places, empty labels and
 score 0. Repeated rows are scored each on their own. An empty table gives no rows.
 """
@@ -157,11 +160,7 @@ def template_places(words: list[bytes], automata: list[Automaton], starts: dict[
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: base places, template matches and the share of words they cover.
-
-    ``matches`` has each template match as ``label:first word:end word``. ``score``
-    is the share of the text's words inside any base place or template match.
-    """
+    """Per row of ``docs(doc_id, text)``: base places, labels, score, and in ``matches`` each template match as ``label:first word:end word``."""
     automata = [compile_template(k, v) for k, v in templates.items()]
     starts: dict[bytes, list[int]] = {}
     for k, a in enumerate(automata):
@@ -181,9 +180,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str,
                 places.append((first, first + phrase.count(b" ") - 1, label))
                 at = joined.find(phrase, at + 1)
         found = template_places(words, automata, starts) if any(w in joined for w in needed) else []
-        covered = sum(b - a for a, b in _merged([(a, b) for a, b, _ in places + found]))
         named = sorted({x[2] for x in places})
-        return (len(words), len(places), min((x[0] for x in places), default=None), max((x[0] for x in places), default=None), ",".join(named), ",".join(sorted({*named, *(x[2] for x in found)})), covered / len(words) if words else 0.0, [f"{n}:{a}:{b}" for a, b, n in found])
+        return (len(words), len(places), min((x[0] for x in places), default=None), max((x[0] for x in places), default=None), ",".join(named), ",".join(sorted({*named, *(x[2] for x in found)})), 1.0 if found else 0.5 if places else 0.0, [f"{n}:{a}:{b}" for a, b, n in found])
 
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
 
@@ -212,11 +210,42 @@ def _always(a: Automaton, word: bytes) -> bool:
     return not reached >> a.size & 1
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+def template_pattern(markup: str) -> str:
+    """The template as a regular expression over words that each end with a space; for SQL, and to test the automata."""
+    out, at = [], 0
+
+    def literals(text: str) -> str:
+        return "".join(f"{w.decode()} " for w in words_of(text.encode()))
+
+    for mark in [*_MARK.finditer(markup), None]:
+        out.append(literals(markup[at : mark.start() if mark else len(markup)]))
+        if mark is None:
+            return "".join(out)
+        at = mark.end()
+        if mark[1] == "beginOptional":
+            out.append("(?:")
+        elif mark[1] == "endOptional":
+            out.append(")?")
         else:
-            out.append((a, b))
-    return out
+            spec = dict(x.split("=", 1) for x in mark[1].split(";")[1:])
+            out.append("(?:[^ ]+ ){%s}" % spec["words"].replace("-", ",") if "words" in spec else "(?:%s)" % "|".join(literals(x) for x in spec["match"].split("|")))
+
+
+def sql(templates: dict[str, str] = TEMPLATES, base: dict[str, str] = BASE) -> str:
+    """``scan`` for DuckDB over ``documents``, without ``matches``."""
+    upper = "".join(map(chr, range(65, 91)))
+    longest = max(len(p.split()) for p in base)
+    ahead = ", ".join(f"lead(w0, {k}) over (partition by r order by i) w{k}" for k in range(1, longest))
+    places = "\n union all ".join(f"select r, i, '{label}' label from pos where " + " and ".join(f"w{k} = '{w}'" for k, w in enumerate(phrase.split())) for phrase, label in base.items())
+    matched = "\n union all ".join(f"select r, '{label}' label from w where regexp_matches(joined, ' {template_pattern(markup)}')" for label, markup in templates.items())
+    return f"""
+with d as (select row_number() over () r, doc_id, regexp_replace(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') t from documents),
+w as (select r, doc_id, words, ' ' || array_to_string(words, ' ') || ' ' joined from (select *, list_filter(string_split(t, ' '), lambda x: x <> '') words from d)),
+pos as (select *, {ahead} from (select r, unnest(words) w0, unnest(range(len(words))) i from w)),
+p as ({places}),
+b as (select r, count(*) n, min(i) lo, max(i) hi, string_agg(distinct label, ',' order by label) labels from p group by r),
+m as ({matched}),
+a as (select r, string_agg(distinct label, ',' order by label) labels from (select r, label from p union all select r, label from m) group by r)
+select doc_id, len(words)::bigint n_words, coalesce(n, 0)::bigint n_base, lo::bigint first_word, hi::bigint last_word, coalesce(b.labels, '') base_labels, coalesce(a.labels, '') labels,
+  case when r in (select r from m) then 1.0::double when n > 0 then 0.5::double else 0.0::double end score
+from w left join b using (r) left join a using (r)"""

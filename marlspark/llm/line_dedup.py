@@ -117,3 +117,30 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     clean = F.arrow_udf(_clean, "text string, n_lines long, n_removed long, removed string")
     done = docs.join(spans, same, "left").withColumn("line_dedup", clean("text", "line_spans.spans"))
     return done.withColumn("text", F.col("line_dedup.text")).withColumn("line_dedup", F.col("line_dedup").dropFields("text")).drop("line_spans")
+
+
+def sql(min_words: int = 50) -> str:
+    """The query op5 for DuckDB over ``documents``, with the windows' very texts in place of hashes.
+
+    Without fingerprints: these only say which windows are compared, not the result.
+    """
+    space = "[\\x20\\x09-\\x0D]"
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+with d as (select doc_id, text, string_split(text, chr(10)) raw from documents),
+l as (select doc_id, pos, trim(regexp_replace(translate(x, '{upper}', '{upper.lower()}'), '{space}+', ' ', 'g')) line from (select doc_id, unnest(raw) x, unnest(range(len(raw))) pos from d)),
+n as (select doc_id, pos, line, row_number() over (partition by doc_id order by pos) k, len(string_split(line, ' ')) size from l where line <> ''),
+c as (select *, sum(size) over (partition by doc_id order by k) upto from n),
+forward as (select a.doc_id, a.k i, min(b.k) j from c a join c b on a.doc_id = b.doc_id and b.k >= a.k and b.upto - a.upto + a.size >= {min_words} group by all),
+backward as (select b.doc_id, max(a.k) i, b.k j from c a join c b on a.doc_id = b.doc_id and b.k >= a.k and b.upto - a.upto + a.size >= {min_words} group by all),
+win as (select distinct doc_id, i, j from (from forward union all from backward)),
+told as (select w.doc_id, i, j, min(pos) first, max(pos) last, string_agg(line, chr(10) order by k) content from win w join c on w.doc_id = c.doc_id and k between i and j group by w.doc_id, i, j),
+origin as (select content, arg_min({{'d': doc_id, 'e': last}}, (doc_id, first)) o from told group by content),
+span as (select doc_id, first, last from told join origin using (content) where doc_id <> o.d or first > o.e),
+gone as (select distinct c.doc_id, pos from c join span s on c.doc_id = s.doc_id and pos between first and last),
+edge as (select doc_id, first, last, max(last) over (partition by doc_id order by first, last rows between unbounded preceding and 1 preceding) before from (select distinct doc_id, first, last from span)),
+runs as (select doc_id, grp, min(first) a, max(last) b from (select *, sum(case when before is null or first > before + 1 then 1 else 0 end) over (partition by doc_id order by first, last) grp from edge) group by doc_id, grp),
+listed as (select doc_id, string_agg(a || '-' || b, ',' order by a) removed from runs group by doc_id),
+g as (select doc_id, list(pos) ats, count(*) n from gone group by doc_id),
+e as (select d.doc_id, case when text is null then 0 else len(raw) end::bigint n_lines, coalesce(n, 0)::bigint n_removed, coalesce(removed, '') removed, case when ats is null then text else coalesce(array_to_string(list_transform(list_filter(range(len(raw)), lambda q: not list_contains(ats, q)), lambda q: raw[q + 1]), chr(10)), '') end text from d left join g using (doc_id) left join listed using (doc_id))
+select doc_id, n_lines, n_removed, removed, coalesce(length(text), 0)::bigint n_chars, text from e"""

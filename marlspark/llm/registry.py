@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("matches")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,8 @@ OPERATORS = (op1_license_scan, op2_quality, op3_warc, op4_simhash, op5_line_dedu
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.sql(),
     "op3_warc": warc.SQL,
+    "op5_line_dedup": line_dedup.sql(),
     "op10_quality_rules": quality_rules.sql(),
 }
