@@ -14,6 +14,7 @@ Rows with equal doc_id are packed each on their own. An empty table gives no row
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,27 +28,85 @@ from .common import written
 CAPACITY, END_ID, GROUP_SIZE = 4096, 1, 40_000
 
 
-class Words(dict):
-    """Token ids, as little-endian 32-bit bytes, of chunks between spaces; filled as they come."""
+class Words:
+    """A tokenizer with a memory: token ids, as little-endian 32-bit bytes, of chunks between spaces.
 
-    def __init__(self, path: str, most: int = 300_000):
+    The tokenizer drops white space, and no token or normalization reaches over a
+    space or line feed, so a text's ids are those of its chunks in turn. In a chunk
+    of Latin letters and then signs the letters are one word of the tokenizer, in
+    small letters, and the signs another. New words are encoded many at once: as
+    only a word's last token has the end mark, the ids can be told apart. The memory
+    is bounded: chunks are forgotten all at once, words in two generations.
+    """
+
+    # letters that the tokenizer lower-cases one by one as Python does, then signs without apostrophe, digit or white space
+    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)([!-&(-/:-@\\[-`{-~]*)")
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = found = np.array(ids, "<u4").tobytes()
-        return found
+        vocabulary = self.tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._chunks: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words of one kind, letters only or signs only, to the memory."""
+        if len(self._words) > self.most:
+            self._older, self._words = self._words, {"": b""}
+        new = []
+        for w in words:
+            if (found := self._older.get(w)) is None:
+                new.append(w)
+            else:
+                self._words[w] = found
+        raw = self._encode(" ".join(new)) if new else b""
+        stops = (np.flatnonzero(self._ends[np.frombuffer(raw, "<u4")]) + 1) * 4
+        if len(stops) == len(new):
+            self._words.update(zip(new, (raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=False)), strict=True))
+        else:
+            self._words.update((w, self._encode(w)) for w in new)
+
+    def _fill(self, chunks: list[str]) -> None:
+        parts = {c: (m[1].lower(), m[2]) if (m := self._PLAIN.fullmatch(c)) else None for c in chunks}
+        for kind in (0, 1):
+            if missing := sorted(w for w in {p[kind] for p in parts.values() if p} if w not in self._words):
+                self._learn(missing)
+        for c, p in parts.items():
+            try:
+                self._chunks[c] = self._encode(c) if p is None else self._words[p[0]] + self._words[p[1]]
+            except KeyError:  # its generation has just ended
+                self._chunks[c] = self._encode(c)
 
     def ids(self, text: str) -> bytes:
-        """The text's ids. The tokenizer drops white space and no token or normalization reaches over a space or
-        line feed, so chunks between them can be looked up; where a special token's text may stand, it is not so."""
-        if "<|" in text or len(text) < 1:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        """The text's ids; where a special token's own text may stand, the whole text is encoded at once."""
+        if "<|" in text:
+            return self._encode(text)
+        chunks = text.replace("\n", " ").split(" ")
+        if missing := set(chunks).difference(self._chunks):
+            if len(missing) > self.most:  # a text with more words than the memory holds
+                return self._encode(text)
+            if len(self._chunks) > 3 * self.most // 2:
+                self._chunks.clear()
+                missing = set(chunks)
+            self._fill(list(missing))
+        return b"".join(map(self._chunks.__getitem__, chunks))
+
+
+_LOADED: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """One memory for each Python worker, kept from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
+    return _LOADED[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -57,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
