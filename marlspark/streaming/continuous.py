@@ -1,6 +1,6 @@
 """A SELECT over streaming tables.
 
-The reference dialect has no streams; this lets its SELECT run on them as it is.
+The dialect itself has no streams; this lets its SELECT run on them as it is.
 Filters, columns and joins of a stream with tables at rest work in every output
 mode; aggregates need the complete or update mode, and ORDER BY is not for
 streams but for the complete mode. What Spark cannot run incrementally it
