@@ -50,43 +50,57 @@ _UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
 
 
 class Tokens(dict):
-    """For each raw word: (code of the literal, slot kind, 1 if capitalised, 1 if it ends a sentence, value's hash)."""
+    """Numbers raw words; arrays have what is known of each: code of the literal, slot kind, capitalised, ends a sentence, value's hash."""
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
         self._numbers, self._units = {x.encode() for x in NUMBER_WORDS}, {x.encode() for x in UNITS}
+        self._grow(1 << 12)
+
+    def _grow(self, size: int) -> None:
+        for name, kind in (("code", np.uint64), ("kind", np.int8), ("capital", bool), ("ends", bool), ("value", np.uint64)):
+            new, old = np.zeros(size, kind), getattr(self, name, None)
+            if old is not None:
+                new[: len(old)] = old
+            setattr(self, name, new)
+
+    def trim(self) -> None:
+        """Between texts: forgets the words if there are too many."""
+        if len(self) > self.most:
+            self.clear()
 
-    def __missing__(self, raw: bytes) -> tuple[int, int, int, int, int]:
+    def __missing__(self, raw: bytes) -> int:
         bare = raw.strip(_OUTER)
         text = bare.decode(errors="replace")
         low = text.lower().encode()
-        value = xxhash.xxh3_64_intdigest(low, 1)
-        kind = NUMBER if _NUMBER.fullmatch(bare) or low in self._numbers else UNIT if low in self._units else 0
+        n = len(self)
+        if n == len(self.code):
+            self._grow(2 * n)
+        self.code[n] = xxhash.xxh3_64_intdigest(low)
+        self.kind[n] = NUMBER if _NUMBER.fullmatch(bare) or low in self._numbers else UNIT if low in self._units else 0
         # a name has a capital and goes on in small letters
-        capital = int(bool(_UPPER.match(text)) and text[1:].islower())
-        ends = int(raw.rstrip(b"\"')]*#$%&|<>").endswith((b".", b"!", b"?", b":")))
-        if len(self) >= self.most:
-            self.clear()
-        self[raw] = found = (xxhash.xxh3_64_intdigest(low), kind, capital, ends, value)
-        return found
+        self.capital[n] = bool(_UPPER.match(text)) and text[1:].islower()
+        self.ends[n] = raw.rstrip(b"\"')]*#$%&|<>").endswith((b".", b"!", b"?", b":"))
+        self.value[n] = xxhash.xxh3_64_intdigest(low, 1)
+        self[raw] = n
+        return n
 
 
 def template(text: bytes, memo: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each template token: its code, its slot kind (0: literal), and its value's hash."""
-    rows: list[tuple] = []
+    memo.trim()
+    numbers: list[int] = []
     starts: list[int] = []
     for line in text.split(b"\n"):
-        starts.append(len(rows))
-        rows += map(memo.__getitem__, line.split())
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-    code, kind, capital, ends, value = zip(*rows, strict=True)
-    codes, kinds, values = np.array(code, np.uint64), np.array(kind, np.int8), np.array(value, np.uint64)
-    first = np.zeros(len(rows) + 1, bool)
+        starts.append(len(numbers))
+        numbers += map(memo.__getitem__, line.split())
+    at = np.array(numbers, np.int64)
+    codes, kinds, values = memo.code[at], memo.kind[at], memo.value[at]
+    first = np.zeros(len(at) + 1, bool)
     first[starts] = True
-    first[1:] |= np.array(ends, bool)
-    kinds[(kinds == 0) & np.array(capital, bool) & ~first[:-1]] = NAME
+    first[1:] |= memo.ends[at]
+    kinds[(kinds == 0) & memo.capital[at] & ~first[:-1]] = NAME
     for k, c in _SLOT_CODES.items():
         codes[kinds == k] = c
     return codes, kinds, values
