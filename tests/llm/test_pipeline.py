@@ -4,6 +4,9 @@ import os
 
 import pytest
 
+from test_lines import ids_of, plain_removed
+from test_simhash import plain_components
+
 import corpus_pipeline as C
 from marlspark.llm import simhash
 from marlspark.llm.common import written
@@ -30,5 +33,22 @@ def test_stages(spark):
     assert all((a ^ b).bit_count() > 3 for i, a in enumerate(prints) for b in prints[:i])
     before = {simhash.fingerprint((r.text or "").encode()) for r in seen["line_dedup"]}
     assert set(prints) <= before and len(seen["near_duplicates"]) < len(seen["line_dedup"])
+    # lines: against brute force over all runs, on what the classifier kept
+    rows = sorted(((r.doc_id, r.text) for r in seen["quality"]), key=lambda r: r[0])
+    cleaned = {r.doc_id: r.text for r in seen["line_dedup"]}
+    for (doc_id, text), gone in zip(rows, plain_removed(rows, 50), strict=True):
+        assert cleaned[doc_id] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    # near-duplicates: against brute force over all pairs
+    least = {c for _, _, c in plain_components([(r.doc_id, r.text) for r in seen["line_dedup"]])}
+    assert least == {r.doc_id for r in seen["near_duplicates"]}
+    # packing: every document's length, and no sequence too long or with holes
+    lengths, used = {}, {}
+    for r in seen["pack"]:
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert lengths == {r.doc_id: len(ids_of(r.text)) for r in seen["decontaminate"]}
+    for parts in used.values():
+        parts.sort()
+        assert all(b[0] == a[0] + a[1] for a, b in zip([(0, 0), *parts], parts)) and sum(parts[-1]) <= 4096
     assert {r.doc_id for r in seen["pack"]} == {r.doc_id for r in seen["decontaminate"]}
     assert len(seen["quality"]) > 100
