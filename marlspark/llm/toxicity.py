@@ -196,7 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lex
         found = [{u: n for u, n in units(t).items() if u in wanted} for t in rows.column("text").to_pylist()]
         return {"y": rows.column("y"), "units": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
 
-    rows = by_batch(sample, covered, "y int, units array<string>, counts array<int>").orderBy("y", "units", "counts").toArrow().to_pylist()
+    # the sample is bounded; put in order here, so that sums do not hang on how rows arrive
+    rows = by_batch(sample, covered, "y int, units array<string>, counts array<int>").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["y"], sorted(zip(r["units"], r["counts"], strict=True))))
     counts = [dict(zip(r["units"], r["counts"], strict=True)) for r in rows]
     lexicon = Lexicon(learned(candidates, counts, np.array([r["y"] for r in rows])), EXCEPTIONS)
 
@@ -204,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lex
         found = [lexicon.inputs(t) for t in rows.column("text").to_pylist()]
         return {"y": rows.column("y"), "x": [f[0] for f in found], "z": [f[1] for f in found]}
 
-    got = by_batch(sample, inputs, "y int, x double, z double").orderBy("y", "x", "z").toArrow()
-    lexicon.curve = curve(np.column_stack([got.column("x").to_numpy(), got.column("z").to_numpy()]), got.column("y").to_numpy())
+    got = by_batch(sample, inputs, "y int, x double, z double").toArrow()
+    y, x, z = (got.column(c).to_numpy() for c in ("y", "x", "z"))
+    order = np.lexsort((z, x, y))
+    lexicon.curve = curve(np.column_stack([x, z])[order], y[order])
     return lexicon
 
 
