@@ -165,7 +165,8 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 204
     """
     found = written(grouped(docs, radius, shingle, tile), "simhash-groups")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
-    kept = found.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "kept")
+    # written, so that the join has shuffles of its own and a large component's rows can be split
+    kept = written(found.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "kept"), "simhash-kept")
     rivals = written(found.join(kept, "root").select(F.col("doc_id").alias("rival_id"), F.col("th").alias("rival_th"), F.col("kept").eqNullSafe(place).alias("stays")), "simhash-rivals")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("rival_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("rival_th"))
     left = docs.join(rivals.filter("not stays"), same, "left_anti")
