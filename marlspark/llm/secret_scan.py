@@ -2,9 +2,10 @@
 
 Each text is the first layer. Runs that look percent-encoded, Unicode-escaped,
 or base64 (whose bytes may be gzip or zlib streams) are unwrapped into further
-layers until no new layer appears; a layer already seen in the text is not
-entered again, which ends cycles. Matches in a deeper layer are reported at the
-span of the text that they were decoded from.
+layers until no new layer appears; a layer already seen at the same place of the
+text is not entered again, which ends cycles, and one that stands at several
+places is unwrapped once and reported at each. Matches in a deeper layer are
+reported at the span of the text that they were decoded from.
 
 Defined cases: null counts as the empty text, which has no spans. Repeated rows
 are scanned each on their own. A layer that expands beyond ``MAX_EXPANSION``
@@ -131,34 +132,38 @@ def layers(text: str) -> list[tuple[str, int, int, list[int] | None]]:
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans (both sorted, distinct) as (start, kind, end), and the number of layers."""
+    """Base spans, all spans (both sorted, distinct) as (start, kind, end), and the number of distinct layers."""
     base = sorted(matches(text))
-    found, seen, work = set(base), {text}, [(text, None, 0, len(text))]
+    found, contents, seen, known = set(base), {text}, set(), {}
+    work: list[tuple] = [(text, None, 0, len(text))]
     while work:
         layer, places, start, end = work.pop()
         # places: for each character of the layer its span in the text; None at depth 0 (itself) or for opaque layers
-        def whole(a: int, b: int, layer=layer, places=places, start=start, end=end) -> tuple[int, int]:
+        def whole(a: int, b: int, places=places, start=start, end=end) -> tuple[int, int]:
             if places == "opaque":
                 return start, end
             if places is None:
                 return a, b
             return places[a][0], places[b - 1][1]
 
-        if layer is not text:
-            for a, kind, b in matches(layer):
-                x, y = whole(a, b)
-                found.add((x, kind, y))
-        for decoded, a, b, at in layers(layer):
-            if decoded in seen:
-                continue
-            seen.add(decoded)
+        if layer not in known:
+            known[layer] = (base if layer is text else matches(layer)), layers(layer)
+        own, inner = known[layer]
+        for a, kind, b in own:
+            x, y = whole(a, b)
+            found.add((x, kind, y))
+        for decoded, a, b, at in inner:
             x, y = whole(a, b)
             if at is None or places == "opaque":
-                work.append((decoded, "opaque", x, y))
+                there: object = "opaque"
             else:
                 ends = [*(p for p in at[1:]), b - a]
-                work.append((decoded, [(whole(a + p, a + q if q > p else a + p + 1)) for p, q in zip(at, ends, strict=True)], x, y))
-    return base, sorted(found), len(seen) - 1
+                there = tuple(whole(a + p, a + q if q > p else a + p + 1) for p, q in zip(at, ends, strict=True))
+            if (decoded, there, x, y) not in seen:
+                seen.add((decoded, there, x, y))
+                contents.add(decoded)
+                work.append((decoded, there, x, y))
+    return base, sorted(found), len(contents) - 1
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:

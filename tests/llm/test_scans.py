@@ -103,6 +103,18 @@ def test_secret_layers_map_back():
     assert S.spans(text)[1] == [(2, 0, 2 + len("%70assword%3Dhunter2hunter2"))]
 
 
+def test_secret_repeated_layers_are_reported_at_each_place():
+    inner = "password=hunter2hunter2"
+    code = base64.b64encode(inner.encode()).decode()
+    percent = inner.replace("=", "%3D")
+    text = f"a {code}\nb {code} {percent} {percent}"
+    places = [(m.start(), 0, m.end()) for m in re.finditer(f"{re.escape(code)}|{percent}", text)]
+    assert len(places) == 4 and S.spans(text)[1] == places and S.spans(text)[2] == 1
+    # the same inside a layer whose characters have places of their own
+    text = f"x%20{code}%20{code}"
+    assert S.spans(text)[1] == [(m.start(), 0, m.end()) for m in re.finditer(code, text)]
+
+
 def test_secret_cycles_end():
     assert S.spans("%2525252525 " * 50)[2] >= 1
     bomb = base64.b64encode(gzip.compress(b"a" * 20_000_000)).decode()
