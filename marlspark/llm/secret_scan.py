@@ -7,16 +7,20 @@ text is not entered again, which ends cycles, and one that stands at several
 places is unwrapped once and reported at each. Matches in a deeper layer are
 reported at the span of the text that they were decoded from.
 
+What base64 holds has no place of its own in the text: it is reported at its run,
+so it is read as a stream of bytes, in pieces that overlap, to the end of all
+members of compressed streams, in bounded memory however far they expand.
+
 Defined cases: null counts as the empty text, which has no spans. Repeated rows
-are scanned each on their own. A layer that expands beyond ``MAX_EXPANSION``
-times its text plus ``MAX_LAYER`` bytes raises no error: decompression ends there
-and the part so far is scanned, so a bomb costs bounded memory.
+are scanned each on their own. A compressed stream that breaks off is scanned as
+far as it goes. Streams compressed ``MAX_DEPTH`` times into one another end there,
+as some unpack to themselves. ``n_layers`` counts distinct decoded contents.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -37,7 +41,9 @@ URL_RUN = re.compile(r"[A-Za-z0-9_.~!*'();:@&=+$,/?#\[\]%-]+")
 URL_CODE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|[!-\[\]-~])*")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_EXPANSION, MAX_LAYER = 64, 1 << 20
+#: Bytes that are inflated, and scanned, at once; how far pieces of an unbroken line overlap;
+#: compressed streams in one another; base64 runs whose kinds are kept.
+CHUNK, PIECE, OVERLAP, MAX_DEPTH, MOST_KNOWN = 1 << 20, 1 << 22, 1 << 16, 64, 100_000
 
 
 def matches(text: str) -> list[tuple[int, int, int]]:
@@ -88,36 +94,208 @@ def _escapes(run: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-def _inflated(raw: bytes, limit: int) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _ascii(pattern: re.Pattern) -> re.Pattern:
+    return re.compile(pattern.pattern.encode(), pattern.flags & re.I)
+
+
+_ASSIGN, _ACCESS, _HEX, _URL_RUN, _URL_CODE, _ESCAPE_RUN, _BASE64_RUN = map(_ascii, (ASSIGN, ACCESS, HEX, URL_RUN, URL_CODE, ESCAPE_RUN, BASE64_RUN))
+_ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+_SPACES = re.compile(b" {2,}")
+
+
+def _character(m: re.Match) -> bytes:
+    code = int(m[m.lastindex], 16)
+    return m[0] if code >= 0x110000 else ("�" if 0xD800 <= code < 0xE000 else chr(code)).encode()
+
+
+def _packed(head: bytes) -> bool:
+    """Whether a gzip or zlib stream may begin so."""
+    return head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0)
+
+
+def _bytes(run: bytes) -> bytes:
+    """What a base64 run stands for; a last character that is too much is left out."""
+    body = run.rstrip(b"=").translate(_STANDARD)
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return binascii.a2b_base64(body + b"=" * (-len(body) % 4))
+
+
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+
+
+def digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+class Hidden:
+    """The layers of a text that are reported at their run: which kinds each holds, and the distinct contents."""
+
+    def __init__(self) -> None:
+        self.contents: set[bytes] = set()
+        self.known: dict[bytes, set[int]] = {}
+        self.open: set[bytes] = set()
+
+    def run(self, run: bytes, depth: int = 0) -> set[int]:
+        """The kinds that a base64 run holds; one that is met inside itself adds nothing."""
+        key = digest(run)
+        if key in self.open:
+            return set()
+        if key not in self.known:
+            self.open.add(key)
+            kinds = self.stream(_bytes(run), depth + 1)
+            self.open.discard(key)
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            self.known[key] = kinds
+        return self.known[key]
+
+    def stream(self, raw: bytes, depth: int = 0) -> set[int]:
+        stream = Stream(self, depth)
+        stream.feed(raw)
+        return stream.end()
+
+
+class Stream:
+    """Bytes of a layer, fed in parts: scanned as they are and, if they are compressed, inflated."""
+
+    def __init__(self, hidden: Hidden, depth: int) -> None:
+        self.hidden, self.depth, self.kinds = hidden, depth, set()
+        self.head: bytes | None = b""
+        self.inflater = self.inner = None
+        self.rest = self.buffer = b""
+        self.size, self.digest, self.decoder, self.is_text = 0, hashlib.blake2b(digest_size=16), codecs.getincrementaldecoder("utf-8")(), True
+        # a base64 run that is longer than a piece: the stream of its bytes, and its characters that do not fill a group
+        self.long: Stream | None = None
+        self.group = b""
+
+    def feed(self, data: bytes) -> None:
+        if self.head is not None:
+            data = self.head + data
+            self.head = data if len(data) < 3 else None
+            if self.head is not None:
+                return
+            if self.depth < MAX_DEPTH and _packed(data):
+                self.inflater, self.inner = zlib.decompressobj(47), Stream(self.hidden, self.depth + 1)
+        if self.inflater:
+            self._inflate(data)
+        for at in range(0, len(data), CHUNK):
+            self._plain(data[at : at + CHUNK])
+
+    def _inflate(self, data: bytes) -> None:
+        data, self.rest = self.rest + data, b""
+        while data:
+            if self.inflater.eof:  # a further member
+                data = data.lstrip(b"\0")
+                if len(data) < 3:
+                    self.rest = data
+                    return
+                if not _packed(data):
+                    break
+                self.inflater = zlib.decompressobj(47)
+            try:
+                out = self.inflater.decompress(data, CHUNK)
+            except zlib.error:
+                break
+            if out:
+                self.inner.feed(out)
+            data = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
+        else:
+            return
+        self.inflater = None
+
+    def _plain(self, data: bytes) -> None:
+        self.size += len(data)
+        self.digest.update(data)
+        if self.is_text:
+            try:
+                self.decoder.decode(data)
+            except UnicodeDecodeError:
+                self.is_text = False
+        if self.long:
+            self._go_on(data)
+        self.buffer += data
+        if len(self.buffer) < PIECE:
+            return
+        cut = self.buffer.rfind(b"\n") + 1
+        if cut > PIECE // 2:
+            self._scan(self.buffer[:cut])
+            self.buffer = self.buffer[cut:]
+            return
+        # an unbroken line: no match needs more than the overlap, once long runs of spaces are one space
+        self.buffer = _SPACES.sub(b" ", self.buffer)
+        self._scan(self.buffer)
+        if not self.long:
+            runs = [m for m in _BASE64_RUN.finditer(self.buffer, max(0, len(self.buffer) - PIECE)) if m.end() == len(self.buffer) and m.end() - m.start() > OVERLAP and m[0][-1:] != b"="]
+            if runs:
+                self.long, self.group = Stream(self.hidden, self.depth + 1), b""
+                self._go_on(runs[0][0])
+        self.buffer = self.buffer[-OVERLAP:]
+
+    def _go_on(self, data: bytes) -> None:
+        """The next part of a long base64 run, or its end."""
+        more = _RUN_GOES_ON.match(data)[0]
+        self.group += more
+        full = len(self.group) // 4 * 4
+        self.long.feed(_bytes(self.group[:full]))
+        self.group = self.group[full:]
+        if len(more) < len(data):
+            self._close()
+
+    def _close(self) -> None:
+        self.long.feed(_bytes(self.group))
+        self.kinds |= self.long.end()
+        self.long = None
+
+    def _scan(self, piece: bytes) -> None:
+        work, seen = [piece], set()
+        while work:  # percent-encoded and escaped layers, which only get shorter
+            layer = work.pop()
+            if b":" in layer or b"=" in layer:
+                if 0 not in self.kinds and any(m.end(2) - m.start(2) >= 6 for m in _ASSIGN.finditer(layer)):
+                    self.kinds.add(0)
+            if 1 not in self.kinds and b"AKIA" in layer and any(m.end() - m.start() >= 20 for m in _ACCESS.finditer(layer)):
+                self.kinds.add(1)
+            if 2 not in self.kinds and _HEX.search(layer):
+                self.kinds.add(2)
+            for m in _BASE64_RUN.finditer(layer):
+                self.kinds |= self.hidden.run(m[0], self.depth)
+            inner = []
+            if _URL_CODE.search(layer):
+                inner += [(m[0], _URL_CODE.sub(lambda c: bytes([int(c[0][1:], 16)]), m[0])) for m in _URL_RUN.finditer(layer) if _URL_CODE.search(m[0])]
+            if b"\\" in layer:
+                inner += [(m[0], _ESCAPE.sub(_character, m[0])) for m in _ESCAPE_RUN.finditer(layer)]
+            for run, raw in inner:
+                if raw != run and (key := digest(raw)) not in seen:
+                    seen.add(key)
+                    self.hidden.contents.add(key)
+                    work.append(raw)
+
+    def end(self) -> set[int]:
+        if self.head:
+            self._plain(self.head)
+        if self.inner:
+            if self.inflater:
+                self.inner.feed(self.inflater.flush())
+            self.kinds |= self.inner.end()
+        if self.long:
+            self._close()
+        if self.buffer:
+            self._scan(self.buffer)
         try:
-            return zlib.decompressobj(47).decompress(raw, limit)
-        except zlib.error:
-            return None
-    return None
-
-
-def _base64(run: str, limit: int) -> str | None:
-    body = run.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    while (more := _inflated(raw, limit)) is not None and more != raw:
-        raw = more
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+            self.decoder.decode(b"", True)
+        except UnicodeDecodeError:
+            self.is_text = False
+        if self.size and (self.is_text or self.kinds and not self.inner):
+            self.hidden.contents.add(self.digest.digest())
+        return self.kinds
+
+
+_RUN_GOES_ON = re.compile(rb"[A-Za-z0-9+/_-]*")
 
 
 def layers(text: str) -> list[tuple[str, int, int, list[int] | None]]:
-    """The runs of one layer that decode: (decoded, start, end, each character's place in the run or None)."""
+    """The percent-encoded and escaped runs of one layer: (decoded, start, end, each character's place in the run or None)."""
     out = []
-    limit = MAX_EXPANSION * len(text) + MAX_LAYER
     if URL_CODE.search(text):
         for m in URL_RUN.finditer(text):
             if URL_CODE.search(m[0]):
@@ -125,45 +303,37 @@ def layers(text: str) -> list[tuple[str, int, int, list[int] | None]]:
     if "\\" in text:
         for m in ESCAPE_RUN.finditer(text):
             out.append((*_escapes(m[0]), m.start(), m.end()))
-    for m in BASE64_RUN.finditer(text):
-        if (got := _base64(m[0], limit)) is not None:
-            out.append((got, None, m.start(), m.end()))
     return [(d, s, e, at) for d, at, s, e in out if d != text[s:e]]
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both sorted, distinct) as (start, kind, end), and the number of distinct layers."""
     base = sorted(matches(text))
-    found, contents, seen, known = set(base), {text}, set(), {}
-    work: list[tuple] = [(text, None, 0, len(text))]
+    found, contents, seen, known, hidden = set(base), set(), set(), {}, Hidden()
+    work: list[tuple] = [(text, None)]
     while work:
-        layer, places, start, end = work.pop()
-        # places: for each character of the layer its span in the text; None at depth 0 (itself) or for opaque layers
-        def whole(a: int, b: int, places=places, start=start, end=end) -> tuple[int, int]:
-            if places == "opaque":
-                return start, end
-            if places is None:
-                return a, b
-            return places[a][0], places[b - 1][1]
+        layer, places = work.pop()
+        # places: for each character of the layer its span in the text; None at depth 0 (itself)
+        def whole(a: int, b: int, places=places) -> tuple[int, int]:
+            return (a, b) if places is None else (places[a][0], places[b - 1][1])
 
         if layer not in known:
-            known[layer] = (base if layer is text else matches(layer)), layers(layer)
-        own, inner = known[layer]
-        for a, kind, b in own:
+            inner = layers(layer)
+            opaque = [(hidden.stream(d.encode()), s, e) for d, s, e, at in inner if at is None]
+            opaque += [(hidden.run(m[0].encode()), m.start(), m.end()) for m in BASE64_RUN.finditer(layer)]
+            known[layer] = base if layer is text else matches(layer), opaque, [x for x in inner if x[3] is not None]
+        own, opaque, inner = known[layer]
+        for a, kind, b in [*own, *((s, k, e) for kinds, s, e in opaque for k in kinds)]:
             x, y = whole(a, b)
             found.add((x, kind, y))
         for decoded, a, b, at in inner:
-            x, y = whole(a, b)
-            if at is None or places == "opaque":
-                there: object = "opaque"
-            else:
-                ends = [*(p for p in at[1:]), b - a]
-                there = tuple(whole(a + p, a + q if q > p else a + p + 1) for p, q in zip(at, ends, strict=True))
-            if (decoded, there, x, y) not in seen:
-                seen.add((decoded, there, x, y))
+            ends = [*at[1:], b - a]
+            there = tuple(whole(a + p, a + q if q > p else a + p + 1) for p, q in zip(at, ends, strict=True))
+            if (decoded, there) not in seen:
+                seen.add((decoded, there))
                 contents.add(decoded)
-                work.append((decoded, there, x, y))
-    return base, sorted(found), len(contents) - 1
+                work.append((decoded, there))
+    return base, sorted(found), len(({digest(c.encode()) for c in contents} | hidden.contents) - {digest(text.encode())})
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:

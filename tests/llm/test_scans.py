@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 
@@ -115,6 +116,35 @@ def test_secret_repeated_layers_are_reported_at_each_place():
     assert S.spans(text)[1] == [(m.start(), 0, m.end()) for m in re.finditer(code, text)]
 
 
+def test_secret_compressed_layers_are_read_to_the_end():
+    inner = b"password=hunter2hunter2"
+    lines = "an equal log lin\u00e9\n".encode() * 200_000
+    nested = base64.b64encode(gzip.compress(b"x" * 9_000_000 + b" " + inner))
+    unbroken = base64.b64encode(random.Random(1).randbytes(5_000_000) + inner)
+    for name, raw in {
+        "behind the expansion": gzip.compress(lines + inner),
+        "cut in a character": gzip.compress(b"a" + "\u00e9".encode() * 3_000_000 + b" " + inner),
+        "second member": gzip.compress(b"nothing") + gzip.compress(b"here either\n" + inner),
+        "twice": gzip.compress(gzip.compress(lines + inner)),
+        "behind an unbroken line": gzip.compress(b"a" * 9_000_000 + b" " + inner),
+        "in a layer further down": gzip.compress(lines + nested),
+        "in a run longer than a piece": gzip.compress(b"x " + unbroken + b" y"),
+        "broken off": gzip.compress(inner + random.Random(2).randbytes(5000))[:-1000],
+    }.items():
+        code = base64.b64encode(raw).decode()
+        text = f"a {code.rstrip('=')} b"
+        assert (2, 0, len(text) - 2) in S.spans(text)[1], name
+
+
+def test_secret_deep_and_endless_layers_end():
+    deep = base64.b64encode(b"%" + b"25" * 3000 + b"41").decode()
+    assert S.spans(deep)[2] >= 3000
+    packed = b"password=hunter2hunter2"
+    for _ in range(100):
+        packed = gzip.compress(packed)
+    assert S.spans(base64.b64encode(packed).decode())[0] == []
+
+
 def test_secret_cycles_end():
     assert S.spans("%2525252525 " * 50)[2] >= 1
     bomb = base64.b64encode(gzip.compress(b"a" * 20_000_000)).decode()
