@@ -7,6 +7,10 @@ text is not entered again, which ends cycles, and one that stands at several
 places is unwrapped once and reported at each. Matches in a deeper layer are
 reported at the span of the text that they were decoded from.
 
+Base64 is looked for from the start of a run and from behind each ``/``, ``_``,
+``+`` or ``-`` in it, and over lines of one length that it is wrapped at. Its
+bytes need not be text.
+
 What base64 holds has no place of its own in the text: it is reported at its run,
 so it is read as a stream of bytes, in pieces that overlap, to the end of all
 members of compressed streams, in bounded memory however far they expand.
@@ -25,6 +29,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +103,10 @@ def _ascii(pattern: re.Pattern) -> re.Pattern:
     return re.compile(pattern.pattern.encode(), pattern.flags & re.I)
 
 
-_ASSIGN, _ACCESS, _HEX, _URL_RUN, _URL_CODE, _ESCAPE_RUN, _BASE64_RUN = map(_ascii, (ASSIGN, ACCESS, HEX, URL_RUN, URL_CODE, ESCAPE_RUN, BASE64_RUN))
+_ASSIGN, _ACCESS, _HEX, _URL_CODE, _ESCAPE_RUN, _BASE64_RUN = map(_ascii, (ASSIGN, ACCESS, HEX, URL_CODE, ESCAPE_RUN, BASE64_RUN))
+# the runs of URL_RUN with a code in them
+_URL = URL_RUN.pattern.encode()[:-1]
+_CODED_RUN = re.compile(rb"(?<!%s)(?:(?!%%)%s|%%(?![0-9A-Fa-f]{2}))*+%%[0-9A-Fa-f]{2}%s*+" % (_URL, _URL, _URL))
 _ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 _SPACES = re.compile(b" {2,}")
 
@@ -123,6 +131,70 @@ def _bytes(run: bytes) -> bytes:
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 
 
+_EDGE = re.compile(rb"[/_+-]")
+_PACKED_EDGE = re.compile(rb"[/_+-](?=H4[s-v]|[CGKOSWae][A-P])")  # what the first bytes of gzip and zlib look like
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_PADDING = re.compile(rb"={0,2}")
+_LINE = re.compile(rb"[A-Za-z0-9+/_-]+")
+_WHOLE_LINE = re.compile(rb"[ \t]*[A-Za-z0-9+/_-]+\r?")
+
+
+def _inflates(raw: bytes) -> bool:
+    try:
+        zlib.decompressobj(47).decompress(raw, 1)
+        return True
+    except zlib.error:
+        return False
+
+
+def _complete(raw: bytes) -> bool:
+    """Whether a compressed stream ends within ``raw``."""
+    inflater = zlib.decompressobj(47)
+    try:
+        while raw and not inflater.eof:
+            inflater.decompress(raw, CHUNK)
+            raw = inflater.unconsumed_tail
+    except zlib.error:
+        return True
+    return inflater.eof
+
+
+def starts(run: bytes) -> list[int]:
+    """Where base64 may begin in a run: its start, and behind a ``/``, ``_``, ``+`` or ``-`` if that shifts the groups of four or a compressed stream begins there."""
+    out, last = {0: 0}, max(0, len(run) - 16)
+    for m in _EDGE.finditer(run, 0, last):
+        if m.end() % 4 not in out:
+            out[m.end() % 4] = m.end()
+            if len(out) == 4:
+                break
+    packed = {m.end() for m in _PACKED_EDGE.finditer(run, 0, last) if _packed(_bytes(run[m.end() : m.end() + 4])) and _inflates(_bytes(run[m.end() : m.end() + 4096]))}
+    return sorted(packed.union(out.values()))
+
+
+def wrapped(layer: bytes) -> list[tuple[int, int, bytes, int]]:
+    """Base64 wrapped over lines of one length, but for the last: (start, end, the lines in one, length of a line)."""
+    out = []
+    for m in _WRAPPED.finditer(layer):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(layer, m.start(), m.end())]
+        # the last is no part of it if its line goes on with other things
+        if layer[m.end() : m.end() + 1].strip(b"\r\n\"'`,;)]}<") and lines:
+            lines.pop()
+        i = 0
+        while i < len(lines):
+            size, j = lines[i][1] - lines[i][0], i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == size:
+                j += 1
+            if j < len(lines) and lines[j][1] - lines[j][0] < size:
+                j += 1
+            if j - i > 1 and size >= 16:
+                end = lines[j - 1][1]
+                out.append((lines[i][0], end + len(_PADDING.match(layer, end)[0]), b"".join(layer[a:b] for a, b in lines[i:j]), size))
+                i = j
+            else:
+                i += 1
+    return out
+
+
 def digest(content: bytes) -> bytes:
     return hashlib.blake2b(content, digest_size=16).digest()
 
@@ -136,7 +208,7 @@ class Hidden:
         self.open: set[bytes] = set()
 
     def run(self, run: bytes, depth: int = 0) -> set[int]:
-        """The kinds that a base64 run holds; one that is met inside itself adds nothing."""
+        """The kinds that base64 holds from its start; one that is met inside itself adds nothing."""
         key = digest(run)
         if key in self.open:
             return set()
@@ -216,7 +288,12 @@ class Stream:
         self.buffer += data
         if len(self.buffer) < PIECE:
             return
-        cut = self.buffer.rfind(b"\n") + 1
+        # behind a line, but not among lines that may be wrapped base64
+        end = self.buffer.rfind(b"\n")
+        cut = self.buffer.rfind(b"\n", 0, max(end, 0)) + 1
+        while cut and end > 0 and _WHOLE_LINE.fullmatch(self.buffer, cut, end):
+            end = cut - 1
+            cut = self.buffer.rfind(b"\n", 0, end) + 1
         if cut > PIECE // 2:
             self._scan(self.buffer[:cut])
             self.buffer = self.buffer[cut:]
@@ -258,10 +335,13 @@ class Stream:
             if 2 not in self.kinds and _HEX.search(layer):
                 self.kinds.add(2)
             for m in _BASE64_RUN.finditer(layer):
-                self.kinds |= self.hidden.run(m[0], self.depth)
+                for at in starts(m[0]):
+                    self.kinds |= self.hidden.run(m[0][at:], self.depth)
+            for _, _, lines, _ in wrapped(layer):
+                self.kinds |= self.hidden.run(lines, self.depth)
             inner = []
             if _URL_CODE.search(layer):
-                inner += [(m[0], _URL_CODE.sub(lambda c: bytes([int(c[0][1:], 16)]), m[0])) for m in _URL_RUN.finditer(layer) if _URL_CODE.search(m[0])]
+                inner += [(m[0], _URL_CODE.sub(lambda c: bytes([int(c[0][1:], 16)]), m[0])) for m in _CODED_RUN.finditer(layer)]
             if b"\\" in layer:
                 inner += [(m[0], _ESCAPE.sub(_character, m[0])) for m in _ESCAPE_RUN.finditer(layer)]
             for run, raw in inner:
@@ -306,6 +386,36 @@ def layers(text: str) -> list[tuple[str, int, int, list[int] | None]]:
     return [(d, s, e, at) for d, at, s, e in out if d != text[s:e]]
 
 
+def encoded(layer: str, hidden: Hidden) -> list[tuple[set[int], int, int]]:
+    """The base64 of a layer: (kinds in it, start, end)."""
+    runs = [(m[0].encode(), m.start(), m.end()) for m in BASE64_RUN.finditer(layer)]
+    out, streams = [], []
+    if "\n" in layer and runs:
+        # the ASCII places are those of the text: other characters count as one
+        for s, e, lines, size in wrapped(layer.encode("ascii", "replace")):
+            raw = _bytes(lines)
+            if _packed(raw) and _inflates(raw):
+                if not _complete(_bytes(lines[:size])):  # else its lines stand for themselves
+                    streams.append((s, e))
+                    out.append((hidden.run(lines), s, e))
+                continue
+            # plain: what lies within a line is found there; here the lines that the wrapping cuts, side by side in one
+            cuts = np.arange(size, len(lines), size) * 3 // 4
+            at, begun = 0, None
+            for part in [*raw.split(b"\n"), None]:
+                cut = part is not None and bool(((cuts > at) & (cuts < at + len(part))).any())
+                if cut and begun is None:
+                    begun = at
+                if not cut and begun is not None:
+                    out.append((hidden.stream(raw[begun:at]), s, e))
+                    begun = None
+                at += len(part or b"") + 1
+    for run, s, e in runs:
+        if not any(a <= s and e <= b for a, b in streams):
+            out += [(hidden.run(run[at:]), s + at, e) for at in starts(run)]
+    return out
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both sorted, distinct) as (start, kind, end), and the number of distinct layers."""
     base = sorted(matches(text))
@@ -320,7 +430,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         if layer not in known:
             inner = layers(layer)
             opaque = [(hidden.stream(d.encode()), s, e) for d, s, e, at in inner if at is None]
-            opaque += [(hidden.run(m[0].encode()), m.start(), m.end()) for m in BASE64_RUN.finditer(layer)]
+            opaque += encoded(layer, hidden)
             known[layer] = base if layer is text else matches(layer), opaque, [x for x in inner if x[3] is not None]
         own, opaque, inner = known[layer]
         for a, kind, b in [*own, *((s, k, e) for kinds, s, e in opaque for k in kinds)]:

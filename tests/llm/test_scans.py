@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import urllib.parse
+import zlib
 
 from marlspark.llm import license_scan as L
 from marlspark.llm import secret_scan as S
@@ -145,6 +146,31 @@ def test_secret_deep_and_endless_layers_end():
     assert S.spans(base64.b64encode(packed).decode())[0] == []
 
 
+def test_secret_layers_need_not_be_clean():
+    inner = b"password=hunter2hunter2"
+    for before in ("\ufeff", "a\u00a0", "\u200b", "\0", "\f", "\u2028"):
+        code = base64.b64encode(before.encode() + inner).decode()
+        assert (2, 0, 2 + len(code)) in S.spans(f"a {code} b")[1], before
+    code = base64.b64encode(b"\xff\xfe " + inner).decode()
+    assert (2, 0, 2 + len(code)) in S.spans(f"a {code} b")[1]
+    # behind a boundary, plain and compressed, whatever the alignment
+    for path in ("a/", "ab/", "abc/", "abcd/", "a_b/", "key_", "x/yz/"):
+        for raw in (inner, gzip.compress(inner), zlib.compress(inner)):
+            code = base64.b64encode(raw).decode()
+            found = S.spans(f"é {path}{code} b")[1]
+            assert any(k == 0 and 2 <= a <= 2 + len(path) and b == 2 + len(path + code) for a, k, b in found), (path, raw)
+    # wrapped lines, in the text and in a layer of it
+    noise = random.Random(3).randbytes(400)
+    for raw in (gzip.compress(noise + b" " + inner), b"-" * 50 + b" " + inner):
+        code = base64.encodebytes(raw).decode()
+        text = f"é\n{code}end"
+        assert (2, 0, 1 + len(code)) in S.spans(text)[1]
+        assert S.spans(base64.b64encode(f"x\n{code}".encode()).decode())[1]
+    # lines that are whole by themselves are not wrapped ones
+    code = base64.b64encode(gzip.compress(b"0" + inner)).decode().rstrip("=")
+    assert S.spans(f"{code}\n{code}\n")[1] == [(0, 0, len(code)), (len(code) + 1, 0, 2 * len(code) + 1)]
+
+
 def test_secret_cycles_end():
     assert S.spans("%2525252525 " * 50)[2] >= 1
     bomb = base64.b64encode(gzip.compress(b"a" * 20_000_000)).decode()
