@@ -6,10 +6,10 @@ outer punctuation. Windows of ``width`` template tokens are hash-joined: the
 texts' windows first pass a bitmap of the benchmark's windows, of fixed size, so
 that only likely ones leave the scan. Candidate pairs come from each item's
 rarest windows, just so many that no pair of the wanted similarity can miss them
-all. A pair is verified over the windows of one place of the text: an item slot
-must stand for one and the same value wherever it occurs there (and two slots of
-a kind with different values for different ones), and windows that break this do
-not count. The similarity is the share of the item's distinct windows that are left.
+all. A pair is verified at every place of the text that has windows enough: an
+item slot must stand for one and the same value wherever it occurs there (two
+may stand for the same), and windows that break this do not count. The best
+place counts. The similarity is the share of the item's distinct windows that are left.
 
 Defined cases: null and empty texts match nothing. An item of fewer than
 ``width`` template tokens, or with only windows of mostly slots, is not looked
@@ -20,6 +20,7 @@ Items of equal text are reported each. Empty tables on either side give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -188,44 +189,52 @@ def text_windows(docs: DataFrame, map_: np.ndarray, bits: int = BITMAP_BITS, wid
     return rows.mapInArrow(run, f"doc_id long, th long, windows array<struct<at: int, hash: bigint, slots: array<bigint>>>")
 
 
-def best_place(item: list[dict], text: list[dict], width: int) -> tuple[int, int, int]:
-    """(number of distinct item windows found consistently, first and last word) at the text's best place."""
-    places = defaultdict(list)
-    for w in item:
-        places[w["hash"]].append(w)
-    hits = sorted((w["at"], w["hash"], w["slots"]) for w in text if w["hash"] in places)
-    reach = (max(w["at"] for w in item) + width) * 3 // 2
-    # the stretch, no longer than the item and half of it, with the most distinct windows
-    best, lo, inside = (0, 0, 0), 0, Counter()
-    for hi, (at, h, _) in enumerate(hits):
-        inside[h] += 1
-        while at + width - hits[lo][0] > reach:
-            inside[hits[lo][1]] -= 1
-            if not inside[hits[lo][1]]:
-                del inside[hits[lo][1]]
-            lo += 1
-        if len(inside) > best[0]:
-            best = (len(inside), lo, hi)
-    if not best[0]:
-        return 0, 0, 0
-    chosen = hits[best[1] : best[2] + 1]
-    # what each value of the item stands for here: the value most windows say, each taken once
+def _consistent(chosen: list[tuple], places: dict[int, list[dict]], once: bool) -> list[tuple[int, int]]:
+    """(place, hash) of the windows of a stretch that agree on what each value of the item stands for: what most windows say, and with ``once`` each for another value."""
+    shifts = Counter(at - w["at"] for at, h, _ in chosen for w in places[h])
+    shift = max(shifts, key=lambda x: (shifts[x], -x))
     votes: dict[int, Counter] = defaultdict(Counter)
-    for _, h, slots in chosen:
+    for at, h, slots in chosen:
         for w in places[h]:
             for a, b in zip(w["slots"], slots, strict=False):
-                votes[a][b] += 1
+                # of equal counts, the values that stand where the item has them
+                votes[a][b] += (1 << 20) + (at - w["at"] == shift)
     stands, taken = {}, set()
     for a, counter in sorted(votes.items(), key=lambda v: (-max(v[1].values()), v[0])):
         for b, _ in sorted(counter.items(), key=lambda x: (-x[1], x[0])):
-            if b not in taken:
+            if not once or b not in taken:
                 stands[a] = b
                 taken.add(b)
                 break
-    kept = [(at, h) for at, h, slots in chosen if any(len(w["slots"]) == len(slots) and all(stands.get(a) == b for a, b in zip(w["slots"], slots, strict=True)) for w in places[h])]
-    if not kept:
-        return 0, 0, 0
-    return len({h for _, h in kept}), min(at for at, _ in kept), max(at for at, _ in kept) + width - 1
+    return [(at, h) for at, h, slots in chosen if any(len(w["slots"]) == len(slots) and all(stands.get(a) == b for a, b in zip(w["slots"], slots, strict=True)) for w in places[h])]
+
+
+def best_place(item: list[dict], text: list[dict], width: int, least: int = 1) -> tuple[int, int, int]:
+    """(number of distinct item windows found consistently, first and last word) at the text's best place; stretches of under ``least`` windows are not looked at."""
+    places = defaultdict(list)
+    for w in item:
+        places[w["hash"]].append(w)
+    hits = sorted((w["at"], w["hash"], w["slots"]) for w in text if w["hash"] in places)
+    ats = [w["at"] for w in item]
+    best, tried = (0, 0, 0), set()
+    # stretches of the text just as long as the item, where what stands beside a copy has no say, then as long and half of it
+    for reach in (max(ats) - min(ats) + width, (max(ats) + width) * 3 // 2):
+        lo, inside = 0, Counter()
+        for hi, (at, h, _) in enumerate(hits):
+            inside[h] += 1
+            while at + width - hits[lo][0] > reach:
+                inside[hits[lo][1]] -= 1
+                if not inside[hits[lo][1]]:
+                    del inside[hits[lo][1]]
+                lo += 1
+            if len(inside) < least or len(inside) <= best[0] or (lo, hi) in tried:
+                continue
+            tried.add((lo, hi))
+            for once in (True, False):
+                kept = _consistent(hits[lo : hi + 1], places, once)
+                if (n := len({h for _, h in kept})) > best[0]:
+                    best = (n, min(at for at, _ in kept), max(at for at, _ in kept) + width - 1)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity:
     both = pairs.join(texts, same).select(pairs["doc_id"], "item_id", "windows").join(grouped.select("item_id", "item", "n_windows"), "item_id")
 
     def verify(rows: pa.RecordBatch) -> dict:
-        found = [best_place(i, t, width) for i, t in zip(rows.column("item").to_pylist(), rows.column("windows").to_pylist(), strict=True)]
+        found = [best_place(i, t, width, math.ceil(similarity * n - 1e-9)) for i, t, n in zip(*(rows.column(c).to_pylist() for c in ("item", "windows", "n_windows")), strict=True)]
         columns = {c: rows.column(c) for c in ("doc_id", "item_id", "n_windows")}
         return columns | {c: [f[i] for f in found] for i, c in enumerate(("n_found", "first_word", "last_word"))}
 

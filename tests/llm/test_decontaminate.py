@@ -29,6 +29,18 @@ def test_reparameterised_items(spark):
     assert all(v["n_found"] < v["n_windows"] for v in [D_pair(broken)])
 
 
+def test_every_place_and_shared_values(spark):
+    broken = ITEM.replace("12 baskets of", "45 baskets of").replace("30", "31")
+    other = ITEM.replace("12", "45").replace("30", "99").replace("Ohio", "Texas").replace("Maria", "Ivan")
+    short = "Anna has 12 red baskets that cost her exactly 30 dollars on monday. Why?"
+    docs = [(1, f"{broken} {ITEM}"), (2, f"{broken} Then. {other}"), (3, f"{broken} {broken}"), (4, short.replace("12", "20").replace("30", "20")), (5, f"{ITEM} {broken}")]
+    got = found(spark, docs, [(70, ITEM), (71, short)])
+    assert set(got) == {(1, 70), (2, 70), (5, 70), (4, 71)}
+    assert got[1, 70].similarity == got[2, 70].similarity == got[5, 70].similarity == got[4, 71].similarity == 1.0
+    n = len(ITEM.split())
+    assert (got[1, 70].first_word, got[2, 70].first_word) == (n, n + 1)
+
+
 def D_pair(text):
     memo = D.Tokens()
 
