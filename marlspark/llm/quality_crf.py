@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, id_crc, id_crc_column, labelled_sample, utf8
+from .common import by_batch, id_crc, id_crc_column, labelled_sample, utf8, written
 
 #: Bounds on what is learned from: documents of each label, and lines in all.
 TRAIN_DOCS, TRAIN_LINES = 2000, 200_000
@@ -205,11 +205,23 @@ def train(own: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, y: np.ndarray
     return Model(w, moves, float(slope), float(shift))
 
 
+def lines_each(counted: list[tuple[int, int]], total: int) -> int:
+    """The most lines of each document, 1 at least, with which documents of ``counted`` (lines, documents) keep to ``total`` lines."""
+    low, high = 1, max([1, *(size for size, _ in counted)])
+    while low < high:
+        middle = (low + high + 1) // 2
+        if sum(min(size, middle) * n for size, n in counted) <= total:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model:
     """Learns from ``labels(doc_id, quality)`` of documents outside the held-out fifth.
 
-    From at most ``train_docs`` documents of each label, and of these (in the order
-    of a hash of doc_id) so many that ``train_lines`` lines are not exceeded.
+    From at most ``train_docs`` documents of each label. If these have more than
+    ``train_lines`` lines, from the first lines of each, as many as keep to it.
     """
     sample = labelled_sample(docs, labels, "quality", id_crc_column() % 5 != 0, train_docs, "quality-sample")
 
@@ -218,13 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
         flat = [np.array(r, np.int8).ravel().tobytes() for r, _ in found]
         return {"doc_id": rows.column("doc_id"), "y": rows.column("y"), "own": flat, "lengths": [s for _, s in found]}
 
-    features = by_batch(sample.select("doc_id", "y", utf8("text")), batch, "doc_id long, y int, own binary, lengths array<long>")
+    features = written(by_batch(sample.select("doc_id", "y", utf8("text")), batch, "doc_id long, y int, own binary, lengths array<long>"), "quality-features")
+    counted = [(r.size, r.n) for r in features.groupBy(F.size("lengths").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    most = lines_each(counted, train_lines)
     order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("own")
-    from pyspark.sql import Window
-
-    # the sample is bounded, so one task may number its rows
-    upto = F.sum(F.size("lengths")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    got = features.withColumn("upto", upto).filter(F.col("upto") <= train_lines).orderBy(*order).select("y", "own", "lengths").toArrow()
+    cut = features.orderBy(*order).select("y", F.substring("own", 1, most * len(_BINS)).alias("own"), F.slice("lengths", 1, most).alias("lengths"))
+    got = cut.toArrow()
     sizes = np.array([len(x) for x in got.column("lengths").to_pylist()], np.int64)
     own = np.frombuffer(b"".join(got.column("own").to_pylist()), np.int8).reshape(-1, len(_BINS)).astype(np.int64)
     lengths = np.array([x for row in got.column("lengths").to_pylist() for x in row], np.float64)

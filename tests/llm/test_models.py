@@ -50,6 +50,17 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(marginal, want) and np.allclose(moved, want_moved)
 
 
+def test_quality_long_labelled_documents(spark):
+    # each document alone has more lines than may be learned from
+    good, bad = "A quiet line of prose, with its end.", "$$ 11 ## 22 @@ 33 !!"
+    rows = [(i, "\n".join([(good, bad)[i % 2]] * 400)) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    for n in (100, 300):
+        got = Q.score(docs, Q.fit(docs, labels, train_lines=n)).collect()
+        assert all(r.predicted == 1 - r.doc_id % 2 for r in got)
+    assert Q.lines_each([(3, 10), (1000, 1)], 50) == 20 and Q.lines_each([(3, 10)], 50) == 3 and Q.lines_each([(9, 100)], 50) == 1
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, "", 1), (None, "A line.\n\nAnother one.", 1), (2, " \n ", 1), (3, "w " * 200_000, 1), (4, "a b c.", 1)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(4, 1), (4, None), (None, 0)], "doc_id long, quality int")
