@@ -37,6 +37,47 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(column)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a sieve: as a table of words at most 2**19 small rows are broadcast, as an array 4 MB, whatever the input's size.
+SIEVE_BITS = 25
+
+
+def sieve(hashes: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """The column ``hash`` (long) as a bitmap of its leading bits, one row for each word of 64 bits that is not empty: word, mask."""
+    place = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("mask"))
+
+
+def sifted(df: DataFrame, key: Column, words: DataFrame, how: str = "left_semi", bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (long) may be in the sieve, or with ``left_anti`` the others.
+
+    A table of bounded size is broadcast, so no row of ``df`` is shuffled to find
+    out that it has no partner; what passes by chance a later join sorts out.
+    """
+    word, mask = fresh(df, "sieve_word"), fresh(df, "sieve_mask")
+    place = F.call_function("shiftrightunsigned", key, F.lit(64 - bits))
+    hit = F.call_function("shiftrightunsigned", F.col(mask), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(words.select(F.col("word").alias(word), F.col("mask").alias(mask))), (F.shiftright(place, 6) == F.col(word)) & hit, how)
+
+
+def text_hash() -> Column:
+    """A hash of the column ``text``, null as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def row_key() -> Column:
+    """A hash of ``doc_id`` and ``text`` in one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_hash())
+
+
 def id_crc(doc_id: int | None) -> int:
     """crc32 of the identifier as text; a null identifier counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())

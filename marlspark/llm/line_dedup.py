@@ -2,20 +2,28 @@
 
 Units are a text's lines that hold a word, compared with A-Z lower-cased and white
 space collapsed. A window is a shortest run of consecutive lines with
-``min_words`` words or more; the line with the least hash in it (the rightmost of
-equals) is its fingerprint. Windows are taken forwards from every line and
-backwards from every line, so any run of ``min_words`` words or more is a union of
-windows that lie inside it, and two equal runs share the fingerprints of all of
-them. Positions are joined on the fingerprint; a match is extended from it both
-ways over its whole window, and matches that touch grow together into the
+``min_words`` words or more, taken forwards and backwards from every line. The
+line with the least hash in it (the rightmost of equals) is its fingerprint, and
+windows next to each other mostly select the same one: what is kept of a text are
+its distinct fingerprints with their positions. Any run of ``min_words`` words or
+more is a union of windows that lie inside it, so two equal runs share the
+fingerprints of all of these.
+
+Positions are joined on the fingerprint's hash: one that stands nowhere else ends
+here. Where others have the same, the match is extended both ways, to the left
+and to the right over the lines of each window around it; it holds where the
+lines on either side are equal too, and matches that touch grow together into the
 maximal repeated run. All lines of a repeated run are deleted but for its first
-occurrence, in the order of doc_id and line.
+occurrence, in the order of doc_id and line. The occurrences of a fingerprint are
+dealt out by what surrounds it, so that a line that stands in very many texts is
+no group of one task, and no pairs of occurrences are formed.
 
 Defined cases: null and empty texts have no lines and stay as they are. Lines
 without a word are kept. Within one text, a run that overlaps its own first
 occurrence is not a repetition of it. Rows of equal doc_id and equal text count
 as one document: none of them is the later one. A null doc_id comes first in the
-order. An empty table gives no rows. Other columns pass through untouched.
+order. An empty table gives no rows. Other columns pass through untouched,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, utf8, written
+from .common import by_batch, fresh, row_key, sieve, sifted, text_hash, utf8, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -57,31 +65,44 @@ def windows(hashes: list[bytes], sizes: list[int], min_words: int) -> list[tuple
     return [(i if i == j else min(range(j, i - 1, -1), key=hashes.__getitem__), i, j) for i, j in sorted(out)]
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    names = ["doc_id", "th", "print", "content", "first", "last"]
+def fingerprints(hashes: list[bytes], sizes: list[int], min_words: int) -> dict[int, list[tuple[int, int, int]]]:
+    """For each selected line, by index: (hash of the lines to its left and to its right, first, last) of the windows that select it."""
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for f, i, j in windows(hashes, sizes, min_words):
+        around = xxhash.xxh3_64_intdigest(b"".join(hashes[i:f]) + b"".join(hashes[f + 1 : j + 1]), seed=f - i)
+        out.setdefault(f, []).append((around - (1 << 63), i, j))
+    return out
+
+
+def _positions(docs: DataFrame, min_words: int) -> DataFrame:
+    names = ["doc_id", "th", "print", "around", "first", "last"]
 
     def batch(rows: pa.RecordBatch) -> dict:
         out: list[list] = [[] for _ in names]
         for doc_id, th, text in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
             places, hashes, sizes = lines_of(text)
-            for f, i, j in windows(hashes, sizes, min_words):
-                key = hashes[f]
-                content = xxhash.xxh3_64_digest(b"".join(hashes[i : j + 1]), seed=1)
-                for column, value in zip(out, (doc_id, th, int.from_bytes(key, "big", signed=True), int.from_bytes(content, "big", signed=True), places[i], places[j]), strict=True):
+            for f, found in fingerprints(hashes, sizes, min_words).items():
+                row = doc_id, th, int.from_bytes(hashes[f], "big", signed=True), [x for x, _, _ in found], [places[i] for _, i, _ in found], [places[j] for _, _, j in found]
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
         return dict(zip(names, out, strict=True))
 
-    return by_batch(docs.select("doc_id", "th", utf8("text")), batch, "doc_id long, th long, print long, content long, first int, last int")
+    return by_batch(docs.select("doc_id", "th", utf8("text")), batch, "doc_id long, th long, print long, around array<long>, first array<int>, last array<int>")
 
 
 def repeated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Spans of later repetitions in ``docs(doc_id, th, text)``: doc_id, th, first, last (line numbers), and whose they are."""
-    found = written(_windows(docs, min_words), "line-windows")
-    key = ["print", "content"]
+    found = written(_positions(docs, min_words), "line-prints")
+    # the positions that share a fingerprint with another
+    shared = found.groupBy(F.col("print").alias("hash")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = sifted(found, F.col("print"), written(sieve(shared), "line-sieve"))
+    # extended both ways
+    met = met.select("doc_id", "th", "print", F.explode(F.arrays_zip("around", "first", "last")).alias("w")).select("doc_id", "th", "print", "w.around", "w.first", "w.last")
+    key = ["print", "around"]
     place = F.struct("doc_id", "th", "first", "last")
-    again = found.groupBy(*key).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = met.groupBy(*key).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = (~F.col("doc_id").eqNullSafe(F.col("origin.doc_id"))) | (F.col("th") != F.col("origin.th")) | (F.col("first") > F.col("origin.last"))
-    return found.join(again, key).filter(later).select("doc_id", "th", "first", "last", F.col("origin.doc_id").alias("first_doc"))
+    return met.join(again, key).filter(later).select("doc_id", "th", "first", "last", F.col("origin.doc_id").alias("first_doc"))
 
 
 def _clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -107,16 +128,22 @@ def _clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the later repeated runs deleted from text, and a struct column ``line_dedup``.
 
-    ``line_dedup`` has n_lines and n_removed, and removed: the runs of lines as
-    ``first-last,...`` by line number in the old text. All rows stay.
+    ``line_dedup`` (with underscores added if ``docs`` has such a column) has
+    n_lines and n_removed, and removed: the runs of lines as ``first-last,...`` by
+    line number in the old text. All rows stay. Only the texts with a run to
+    delete, and a few by chance, are shuffled.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    spans = repeated(keyed, min_words).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = spans.select(F.struct("doc_id", "th", "spans").alias("line_spans"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("line_spans.doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("line_spans.th"))
+    spans = repeated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text"), min_words)
+    report, found = fresh(docs, "line_dedup"), fresh(docs, "line_spans")
+    spans = written(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "line-spans").select(F.struct("doc_id", "th", "spans").alias(found))
+    words = written(sieve(spans.select(F.xxhash64(f"{found}.doc_id", f"{found}.th").alias("hash"))), "line-sieve")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{found}.doc_id")) & (text_hash() == F.col(f"{found}.th"))
     clean = F.arrow_udf(_clean, "text string, n_lines long, n_removed long, removed string")
-    done = docs.join(spans, same, "left").withColumn("line_dedup", clean("text", "line_spans.spans"))
-    return done.withColumn("text", F.col("line_dedup.text")).withColumn("line_dedup", F.col("line_dedup").dropFields("text")).drop("line_spans")
+    hit = sifted(docs, row_key(), words).join(spans, same, "left").withColumn(report, clean("text", f"{found}.spans"))
+    hit = hit.withColumn("text", F.col(f"{report}.text")).withColumn(report, F.col(report).dropFields("text")).drop(found)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    rest = sifted(docs, row_key(), words, "left_anti").withColumn(report, F.struct(lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed")))
+    return hit.unionByName(rest)
 
 
 def sql(min_words: int = 50) -> str:
