@@ -8,9 +8,10 @@ Links: two fingerprints link at ``radius`` or fewer differing bits. Distinct
 fingerprints are dealt out by ``radius + 1`` blocks of their bits: a pair within
 the radius agrees in one block at least, so comparing inside each block's groups
 is exact. A group larger than ``tile`` is cut into tiles, and each pair of tiles
-is a task of its own. A task sorts its fingerprints by population count and
-compares sub-tiles with numpy, skipping those whose counts differ by more than
-the radius; it returns a spanning forest of its links, never all pairs.
+is a task of its own. A task puts the fingerprints of all its groups in the order
+of group and population count and compares tile with tile in numpy, by
+exclusive-or and bit counts, skipping pairs of tiles whose population counts differ
+by more than the radius; it returns a spanning forest of its links, never all pairs.
 
 Defined cases: a null text is empty; an empty text has the fingerprint zero and
 links like any other. Every row is a node of its own, repeated ones too, and
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, components, utf8, written
+from .common import by_batch, components, fresh, row_key, sieve, sifted, text_hash, utf8, written
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,39 +72,54 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         found = np.array([fingerprint(t, shingle) for t in rows.column("text").to_pylist()], np.uint64)
         return {"doc_id": rows.column("doc_id"), "th": rows.column("th"), "print": pa.array(found.view(np.int64))}
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), utf8("text")), batch, "doc_id long, th long, print long")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), utf8("text")), batch, "doc_id long, th long, print long")
 
 
-def _text_hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def tiled_links(prints: np.ndarray, groups: np.ndarray, radius: int, tile: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of ``prints`` (unsigned, distinct within a group) inside each group: two arrays of fingerprints.
 
-
-def forest(prints: np.ndarray, radius: int, sub: int = 512) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``prints`` (distinct, unsigned): pairs of fingerprints.
-
-    Exact: sub-tiles in the order of population count, each against those whose
-    counts come within the radius.
+    Exact: the fingerprints are put in the order of group and population count and
+    cut into tiles; each tile is compared as a whole with itself and with those
+    after it, up to the first that has none of its groups or whose population
+    counts are beyond the radius.
     """
-    counts = np.bitwise_count(prints)
-    order = np.argsort(counts, kind="stable")
-    prints, counts = prints[order], counts[order].astype(np.int64)
-    label = np.arange(len(prints))
-    out = []
-    for a in range(0, len(prints), sub):
-        x, last = prints[a : a + sub], counts[min(a + sub, len(prints)) - 1]
-        for b in range(a, len(prints), sub):
-            if counts[b] - last > radius:
+    counts = np.bitwise_count(prints).astype(np.int64)
+    order = np.lexsort((counts, groups))
+    prints, counts, groups = prints[order], counts[order], groups[order]
+    n, parent, found = len(prints), np.arange(len(prints)), []
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        up = parent[at]
+        while not np.array_equal(further := parent[up], up):
+            up = further
+        return up
+
+    for a in range(0, n, tile):
+        x, gx, last = prints[a : a + tile], groups[a : a + tile], min(a + tile, n) - 1
+        for b in range(a, n, tile):
+            if groups[b] > groups[last] or (b > a and counts[b] - counts[last] > radius):
                 break
-            y = prints[b : b + sub]
-            near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-            for i in np.flatnonzero(near.any(axis=1)).tolist():
-                met = np.append(np.flatnonzero(near[i]) + b, a + i)
-                names, first = np.unique(label[met], return_index=True)
-                if len(names) > 1:  # happens len(prints) - 1 times at most
-                    own = label[a + i]
-                    out += [(int(prints[a + i]), int(prints[met[k]])) for k, name in zip(first.tolist(), names.tolist(), strict=True) if name != own]
-                    label[np.isin(label, names)] = own
-    return out
+            near = np.bitwise_count(x[:, None] ^ prints[None, b : b + tile]) <= radius
+            near &= gx[:, None] == groups[None, b : b + tile]
+            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+            i, j = i + a, j + b
+            # all pairs of the two tiles at once: each round joins, for every row, what its first pair still leaves apart
+            while len(i):
+                apart = roots(i) != roots(j)
+                i, j = i[apart], j[apart]
+                for k in np.unique(i, return_index=True)[1].tolist():
+                    u, v = (int(roots(np.array([at]))[0]) for at in (i[k], j[k]))
+                    if u != v:  # happens n - 1 times at most
+                        parent[max(u, v)] = min(u, v)
+                        found.append((i[k], j[k]))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return prints[pairs[:, 0]], prints[pairs[:, 1]]
+
+
+def forest(prints: np.ndarray, radius: int, sub: int = 256) -> list[tuple[int, int]]:
+    """``tiled_links`` of one group, as a list of pairs."""
+    a, b = tiled_links(prints, np.zeros(len(prints), np.int64), radius, sub)
+    return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
 def links(prints: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
@@ -124,20 +140,22 @@ def links(prints: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
             lists = batch.column(0)
             values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
             ends = ends - ends[0]
-            found = [p for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) for p in _few(values[lo:hi], radius)]
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            # all groups of a batch go through the same tiles, however small they are
+            for lo, hi in _slices(ends, 1 << 18):
+                sizes = np.diff(ends[lo : hi + 1])
+                a, b = tiled_links(values[ends[lo] : ends[hi]], np.repeat(np.arange(hi - lo), sizes), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return grouped.mapInArrow(run, "a long, b long")
 
 
-def _few(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """``forest``, with a short way for the many groups of a few."""
-    if len(prints) > 24:
-        return forest(prints, radius)
-    x = prints.tolist()
-    pairs = [(x[i], x[j]) for i in range(len(x)) for j in range(i) if (x[i] ^ x[j]).bit_count() <= radius]
-    return pairs if len(pairs) < len(x) else forest(prints, radius)
+def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Groups (first, behind the last) with about ``most`` values together, one at least."""
+    lo = 0
+    while lo < len(ends) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048) -> DataFrame:
@@ -161,18 +179,23 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 204
     """One row of ``docs(doc_id, text, ...)`` for each component: that of the smallest doc_id.
 
     Of several rows with that doc_id the one with the least hash of its text
-    stays; of rows equal in both, one. A null doc_id stays only without others.
+    stays; of rows equal in both, that whose columns as JSON come first. A null
+    doc_id stays only without others. Only rows with a near-duplicate, and a few
+    by chance, are shuffled with their texts.
     """
     found = written(grouped(docs, radius, shingle, tile), "simhash-groups")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     # written, so that the join has shuffles of its own and a large component's rows can be split
     kept = written(found.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "kept"), "simhash-kept")
-    rivals = written(found.join(kept, "root").select(F.col("doc_id").alias("rival_id"), F.col("th").alias("rival_th"), F.col("kept").eqNullSafe(place).alias("stays")), "simhash-rivals")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("rival_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("rival_th"))
-    left = docs.join(rivals.filter("not stays"), same, "left_anti")
-    twice = rivals.filter("stays").groupBy("rival_id", "rival_th").count().filter("count > 1").drop("count")
-    if twice.isEmpty():
-        return left
-    # equal rows: only these are shuffled to keep one
-    alone = left.join(twice, same, "left_anti")
-    return alone.unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    one, two = fresh(docs, "rival_id"), fresh(docs, "rival_th")
+    rivals = written(found.join(kept, "root").select(F.col("doc_id").alias(one), F.col("th").alias(two), F.col("kept").eqNullSafe(place).alias("stays")), "simhash-rivals")
+    words = written(sieve(rivals.select(F.xxhash64(one, two).alias("hash"))), "simhash-sieve")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (text_hash() == F.col(two))
+    left = sifted(docs, row_key(), words).join(rivals.filter("not stays").select(one, two).distinct(), same, "left_anti")
+    twice = rivals.filter("stays").groupBy(one, two).count().filter("count > 1").select(one, two)
+    if not twice.isEmpty():
+        # equal rows: only these are shuffled to keep one
+        columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        chosen = left.join(twice, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias("k"), text_hash().alias("h")).agg(F.min_by(columns, F.to_json(columns)).alias("row"))
+        left = left.join(twice, same, "left_anti").unionByName(chosen.select("row.*"))
+    return sifted(docs, row_key(), words, "left_anti").unionByName(left)

@@ -81,3 +81,42 @@ def test_keep_one(spark):
     got = H.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
     assert sorted(str((r.doc_id, r.root)) for r in got) == ["(3, 'c')", "(6, 'f')", "(9, 'i')", "(None, 'n')"]
     assert H.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_small_groups_and_a_large_one():
+    rng = np.random.default_rng(7)
+    sizes = [*rng.integers(1, 9, 700).tolist(), 1500, *rng.integers(1, 30, 60).tolist()]
+    prints, groups = [], []
+    for g, n in enumerate(sizes):
+        centre = rng.integers(0, 2**63, 1 + n // 4, dtype=np.uint64)
+        own = centre[rng.integers(0, len(centre), n)] ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
+        own = np.unique(own)
+        prints.append(own)
+        groups.append(np.full(len(own), g))
+    x, g = np.concatenate(prints), np.concatenate(groups)
+    mixed = rng.permutation(len(x))
+    a, b = H.tiled_links(x[mixed], g[mixed], 3, tile=64)
+    got, want = {}, {}
+    for own, table in ((zip(a.tolist(), b.tolist(), strict=True), got), (((int(p[i]), int(p[j])) for p in prints for i, j in zip(*np.nonzero(np.bitwise_count(p[:, None] ^ p[None, :]) <= 3), strict=True)), want)):
+        for u, v in own:
+            assert (u ^ v).bit_count() <= 3
+            r, s = (root_of(table, w) for w in (u, v))
+            table[max(r, s)] = min(r, s)
+    nodes = [int(p) for p in x]
+    assert [root_of(got, p) for p in nodes] == [root_of(want, p) for p in nodes]
+    assert len(a) == sum(1 for p in set(nodes) if root_of(want, p) != p)
+
+
+def root_of(table, x):
+    while table.get(x, x) != x:
+        x = table[x]
+    return x
+
+
+def test_keep_one_with_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "b", "x", 1), (1, text, "a", "x", 1), (2, text, "a", None, None), (3, "of its own, and of nobody else in this place", None, "y", 2)]
+    names = "doc_id long, text string, rival_id string, rival_th string, stays int"
+    got = H.keep_one(spark.createDataFrame(rows, names)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted([str(rows[1]), str(rows[3])])
+    assert spark.createDataFrame(got, names).columns == ["doc_id", "text", "rival_id", "rival_th", "stays"]
