@@ -11,11 +11,13 @@ item slot must stand for one and the same value wherever it occurs there (two
 may stand for the same), and windows that break this do not count. The best
 place counts. The similarity is the share of the item's distinct windows that are left.
 
-Defined cases: null and empty texts match nothing. An item of fewer than
-``width`` template tokens, or with only windows of mostly slots, is not looked
-for. Repeated rows of a text count as one; rows of one doc_id with different
-texts are matched each on their own. A pair is reported once, at its best place.
-Items of equal text are reported each. Empty tables on either side give no rows.
+Defined cases: null and empty texts match nothing, as texts and as items; an item
+of one word matches every text that has the word (``least_tokens`` leaves items of
+fewer tokens out). Repeated rows of a text count as one; rows of one doc_id with
+different texts are matched each on their own, and so are rows of one item_id. A
+pair is reported once, at its best place, of the item's text that is found most
+fully. Items of equal text are reported each. Empty tables on either side give no
+rows. Further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -31,11 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, utf8, written
+from .common import SIEVE_BITS, by_batch, fresh, sieve, sifted, text_hash, utf8, written
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Bits of the bitmap of the benchmark's windows: 4 MB, whatever the benchmark's size.
-BITMAP_BITS = 25
 #: Fewer literal tokens than this in a window say too little.
 LEAST_LITERALS = 3
 
@@ -107,12 +107,12 @@ def template(text: bytes, memo: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndar
     return codes, kinds, values
 
 
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(codes: np.ndarray, width: int, start: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` codes."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, start, np.uint64)
     for k in range(width):
         out = (out ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
@@ -128,35 +128,39 @@ def _slots(kinds: np.ndarray, values: np.ndarray, at: int, width: int) -> list[i
     return [int(np.int64((int(kinds[i]) << 60 | int(values[i]) & (1 << 60) - 1))) for i in range(at, at + width) if kinds[i]]
 
 
-_WINDOW = "at int, hash long, slots array<bigint>"
+def windows_of(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window: its hash, as a template if it has literals enough and else by its values, and whether it has."""
+    rich = _literals(kinds, width, len(codes) - width + 1) >= min(width, LEAST_LITERALS)
+    return np.where(rich, window_hashes(codes, width, width), window_hashes(values, width, ~width & 0xFFFF)), rich
 
 
 def _found(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
 
-def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, at, hash, slots of the windows of ``benchmark(item_id, text)`` with literals enough."""
+def item_windows(benchmark: DataFrame, width: int = WIDTH, least_tokens: int = 1) -> DataFrame:
+    """item_id, ih (a hash of the item's text), width, at, hash, slots of the windows that ``benchmark(item_id, text)`` is looked for by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for batch in batches:
             out = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for item, ih, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 codes, kinds, values = template(text, memo)
-                hashes = window_hashes(codes, width)
-                for at in np.flatnonzero(_literals(kinds, width, len(hashes)) >= min(width, LEAST_LITERALS)).tolist():
-                    out.append((item, at, int(hashes[at].view(np.int64)), _slots(kinds, values, at, width)))
-            yield _found(out, ["item_id", "at", "hash", "slots"], [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
+                if (own := min(width, len(codes))) < 1 or len(codes) < least_tokens:
+                    continue
+                hashes, rich = windows_of(codes, kinds, values, own)
+                for at in np.flatnonzero(rich if rich.any() else ~rich).tolist():
+                    out.append((item, ih, own, at, int(hashes[at].view(np.int64)), _slots(kinds, values, at, own) if rich[at] else []))
+            yield _found(out, ["item_id", "ih", "width", "at", "hash", "slots"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8("text")).distinct().mapInArrow(run, f"item_id long, {_WINDOW}")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_hash().alias("ih"), utf8("text")).distinct()
+    return rows.mapInArrow(run, "item_id long, ih long, width int, at int, hash long, slots array<bigint>")
 
 
-def bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+def bitmap(windows: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
     """The windows' hashes as a bitmap of 2**bits bits; at most 2**(bits - 6) small rows come to the driver."""
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    words = windows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")).alias("mask"))
-    found = words.toArrow()
+    found = sieve(windows, bits).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
     return out
@@ -167,26 +171,28 @@ def _passes(map_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (map_[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
-def text_windows(docs: DataFrame, map_: np.ndarray, bits: int = BITMAP_BITS, width: int = WIDTH) -> DataFrame:
-    """Per text of ``docs(doc_id, text)`` with windows in the bitmap: doc_id, th (the text's hash) and these windows."""
+def text_windows(docs: DataFrame, map_: np.ndarray, widths: list[int], bits: int = SIEVE_BITS) -> DataFrame:
+    """Per text of ``docs(doc_id, text)`` with windows of ``widths`` in the bitmap: doc_id, th (the text's hash) and these windows."""
     shared = docs.sparkSession.sparkContext.broadcast(map_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known = Tokens(), shared.value
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))]))
         for batch in batches:
             out = []
             for doc_id, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 codes, kinds, values = template(text, memo)
-                hashes = window_hashes(codes, width)
-                hits = np.flatnonzero(_passes(known, hashes, bits))
-                hits = hits[_literals(kinds, width, len(hashes))[hits] >= min(width, LEAST_LITERALS)]
-                if len(hits):
-                    out.append((doc_id, th, [{"at": at, "hash": int(hashes[at].view(np.int64)), "slots": _slots(kinds, values, at, width)} for at in hits.tolist()]))
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))]))
+                windows = []
+                for width in widths:
+                    hashes, rich = windows_of(codes, kinds, values, width)
+                    for at in np.flatnonzero(_passes(known, hashes, bits)).tolist():
+                        windows.append({"at": at, "hash": int(hashes[at].view(np.int64)), "slots": _slots(kinds, values, at, width) if rich[at] else []})
+                if windows:
+                    out.append((doc_id, th, windows))
             yield _found(out, ["doc_id", "th", "windows"], [pa.int64(), pa.int64(), kind])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8("text"))
-    return rows.mapInArrow(run, f"doc_id long, th long, windows array<struct<at: int, hash: bigint, slots: array<bigint>>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), utf8("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, windows array<struct<at: int, hash: bigint, slots: array<bigint>>>")
 
 
 def _consistent(chosen: list[tuple], places: dict[int, list[dict]], once: bool) -> list[tuple[int, int]]:
@@ -237,40 +243,52 @@ def best_place(item: list[dict], text: list[dict], width: int, least: int = 1) -
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, least_tokens: int = 1) -> DataFrame:
     """Pairs of ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` that match.
 
     Columns: doc_id, item_id, n_windows (distinct, of the item), n_found,
     similarity, first_word, last_word (of the place in the text).
     """
-    items = written(item_windows(benchmark, width), "benchmark-windows")
-    texts = written(text_windows(docs, bitmap(items), BITMAP_BITS, width).distinct(), "text-windows")
+    items = written(item_windows(benchmark, width, least_tokens), "benchmark-windows")
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # 1 to ``width``
+    texts = written(text_windows(docs, bitmap(items), widths).distinct(), "text-windows")
     # each item's windows with its distinct hashes in the order of rarity
-    spread = items.groupBy("hash").agg(F.countDistinct("item_id").alias("df"))
+    name = ["item_id", "ih"]
+    spread = items.groupBy("hash").agg(F.countDistinct(*(F.coalesce(F.col(c), F.lit(0)) for c in name)).alias("df"))
     ranked = F.array_sort(F.collect_set(F.struct("df", "hash")))
-    grouped = items.join(spread, "hash").groupBy("item_id").agg(F.collect_list(F.struct("at", "hash", "slots")).alias("item"), ranked.alias("ranked"))
+    grouped = items.join(spread, "hash").groupBy(*name, "width").agg(F.collect_list(F.struct("at", "hash", "slots")).alias("item"), ranked.alias("ranked"))
     # without all of the rarest n - ceil(similarity * n) + 1 the similarity cannot be reached
     n = F.size("ranked")
     grouped = grouped.withColumn("probe", F.expr(f"slice(ranked, 1, size(ranked) - cast(ceil({similarity} * size(ranked) - 1e-9) as int) + 1)")).withColumn("n_windows", n.cast("long"))
-    probes = grouped.select("item_id", F.explode("probe.hash").alias("hash"))
+    grouped = written(grouped.withColumn("item_key", F.xxhash64(*name)), "benchmark-items")
+    probes = grouped.select("item_id", "ih", "item_key", F.explode("probe.hash").alias("hash"))
     seen = texts.select("doc_id", "th", F.explode(F.array_distinct("windows.hash")).alias("hash"))
-    pairs = seen.join(probes, "hash").select("doc_id", "th", "item_id").distinct()
-    same = texts["doc_id"].eqNullSafe(pairs["doc_id"]) & (texts["th"] == pairs["th"])
-    both = pairs.join(texts, same).select(pairs["doc_id"], "item_id", "windows").join(grouped.select("item_id", "item", "n_windows"), "item_id")
+    pairs = seen.join(probes, "hash").select("doc_id", "th", *name, "item_key").distinct()
+    its = grouped.select(*(F.col(c).alias(f"i_{c}") for c in (*name, "item_key")), "width", "item", "ranked", "n_windows")
+    pairs = pairs.join(its, (F.col("item_key") == F.col("i_item_key")) & F.col("item_id").eqNullSafe(F.col("i_item_id")) & (F.col("ih") == F.col("i_ih"))).select(pairs["doc_id"].alias("d"), pairs["th"].alias("h"), "item_id", "width", "item", "ranked.hash", "n_windows")
+    # of a text only the windows that the item has
+    own = F.filter("windows", lambda w: F.array_contains("hash", w["hash"]))
+    both = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "item_id", "n_windows", "width", "item", own.alias("windows"))
 
     def verify(rows: pa.RecordBatch) -> dict:
-        found = [best_place(i, t, width, math.ceil(similarity * n - 1e-9)) for i, t, n in zip(*(rows.column(c).to_pylist() for c in ("item", "windows", "n_windows")), strict=True)]
+        found = [best_place(i, t, w, math.ceil(similarity * n - 1e-9)) for i, t, n, w in zip(*(rows.column(c).to_pylist() for c in ("item", "windows", "n_windows", "width")), strict=True)]
         columns = {c: rows.column(c) for c in ("doc_id", "item_id", "n_windows")}
         return columns | {c: [f[i] for f in found] for i, c in enumerate(("n_found", "first_word", "last_word"))}
 
-    checked = by_batch(both.select("doc_id", "item_id", "n_windows", "item", "windows"), verify, "doc_id long, item_id long, n_windows long, n_found long, first_word long, last_word long")
+    checked = by_batch(both, verify, "doc_id long, item_id long, n_windows long, n_found long, first_word long, last_word long")
     checked = checked.withColumn("similarity", F.col("n_found") / F.col("n_windows")).filter(F.col("similarity") >= similarity - 1e-9)
-    # rows of one doc_id with different texts: the best of them
-    best = F.max_by(F.struct("n_found", "similarity", "first_word", "last_word"), F.struct("n_found", -F.col("first_word"), -F.col("last_word"))).alias("b")
-    return checked.groupBy("doc_id", "item_id", "n_windows").agg(best).select("doc_id", "item_id", "n_windows", "b.n_found", "b.similarity", "b.first_word", "b.last_word")
+    # rows of one doc_id or item_id with different texts: the best of them
+    best = F.max_by(F.struct("n_windows", "n_found", "similarity", "first_word", "last_word"), F.struct("similarity", "n_found", -F.col("first_word"), -F.col("last_word"))).alias("b")
+    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_windows", "b.n_found", "b.similarity", "b.first_word", "b.last_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose doc_id matches an item. Rows with a null doc_id are dropped if any such text matches."""
-    found = leaks(docs, benchmark, width, similarity).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["leaked_id"]), "left_anti")
+    """``docs`` without the rows whose doc_id matches an item. Rows with a null doc_id are dropped if any such text matches.
+
+    Only texts that match, and a few by chance, are shuffled.
+    """
+    leaked, key = fresh(docs, "leaked_id"), F.xxhash64(F.col("doc_id").cast("long"))
+    found = written(leaks(docs, benchmark, width, similarity).select(F.col("doc_id").alias(leaked)).distinct(), "leaked-ids")
+    words = written(sieve(found.select(F.xxhash64(leaked).alias("hash"))), "leaked-sieve")
+    rest = sifted(docs, key, words).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(leaked)), "left_anti")
+    return sifted(docs, key, words, "left_anti").unionByName(rest)

@@ -1,5 +1,6 @@
 """Decontamination against brute force over all pairs, and re-parameterised items."""
 
+import itertools
 import random
 
 import numpy as np
@@ -80,3 +81,77 @@ def test_drop_and_empty(spark):
     docs, items = frames(spark, [(1, ITEM), (2, "clean text of its own"), (None, None)], [(1, ITEM)])
     assert sorted(str(r.doc_id) for r in D.drop_leaks(docs, items).collect()) == ["2", "None"]
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_every_item_is_looked_for(spark):
+    items = [(1, "Zirconium melts"), (2, "3 4 5 6 7 8 9"), (3, "7 pounds"), (4, ""), (5, "Quorvex"), (6, "Ada adds 7 to 5"), (7, "one of these words here"), (7, "quite another text of the same item")]
+    docs = [
+        (1, "They say zirconium melts late."), (2, "Count 3 4 5 6 7 8 9 and stop."), (3, "Count 4 5 6 7 8 9 10 and stop."), (4, "It weighs 7 pounds now."), (5, "It weighs 8 pounds now."),
+        (6, "nothing here melts zirconium"), (7, "We met quorvex."), (8, "Ada adds 9 to 4"), (9, "quite another text of the same item"), (10, None), (None, "7 pounds"),
+    ]
+    want = {(1, 1), (2, 2), (4, 3), (7, 5), (8, 6), (9, 7), (None, 3)}
+    got = found(spark, docs, items)
+    assert set(got) == want and all(r.similarity == 1.0 for r in got.values())
+    least = D.leaks(*frames(spark, docs, items), least_tokens=3).collect()
+    assert {(r.doc_id, r.item_id) for r in least} == {(2, 2), (8, 6), (9, 7)}
+
+
+def plain_leaks(docs, items):
+    """All pairs by a plain reading of the rule: the best stretch as long as the item, with slots that keep to one value."""
+    memo, out = D.Tokens(), {}
+
+    def tokens(text):
+        codes, kinds, values = D.template((text or "").encode(), memo)
+        return list(zip(codes.tolist(), kinds.tolist(), values.tolist(), strict=True))
+
+    def window(part):
+        rich = sum(k == 0 for _, k, _ in part) >= min(len(part), 3)
+        return (rich, *((c if rich else v) for c, _, v in part)), [(k, v & (1 << 60) - 1) for _, k, v in part if k and rich]
+
+    for d, text in docs:
+        for i, item in items:
+            t, w = tokens(text), tokens(item)
+            size = min(5, len(w))
+            if not size:
+                continue
+            own = [window(w[k : k + size]) for k in range(len(w) - size + 1)]
+            own = [x for x in own if x[0][0]] or own
+            need, best = len({x[0] for x in own}), 0
+            theirs = [window(t[k : k + size]) for k in range(max(0, len(t) - size + 1))]
+            for a in range(len(theirs)):
+                part = theirs[a : a + len(w) - size + 1]
+                # every choice of a value for each slot's value that a window of the part offers
+                offers = {}
+                for key, slots in own:
+                    for other, values in part:
+                        if other == key:
+                            for x, y in zip(slots, values, strict=True):
+                                offers.setdefault(x, set()).add(y)
+                names = sorted(offers)
+                for choice in itertools.product(*(sorted(offers[n]) for n in names)):
+                    stands = dict(zip(names, choice, strict=True))
+                    found = {key for key, slots in own for other, values in part if other == key and all(stands[x] == y for x, y in zip(slots, values, strict=True))}
+                    best = max(best, len(found))
+            if need and best >= 0.8 * need - 1e-9:
+                out[d, i] = (need, best)
+    return out
+
+
+def test_slots_and_short_items_match_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{a}{b}" for a in "abcdef" for b in "ghij"]
+
+    def token():
+        return rng.choice(words) if rng.random() < 0.75 else str(rng.randrange(3, 9))
+
+    items = [(i, " ".join(token() for _ in range(rng.choice((1, 2, 3, 4, 5, 7, 12))))) for i in range(24)]
+    docs = []
+    for i in range(60):
+        leak = rng.choice(items)[1].split()
+        again = {str(k): str(rng.randrange(3, 9)) for k in range(3, 9)}
+        # re-parameterised as a whole, or in one place only
+        leak = [again.get(x, x) for x in leak] if i % 3 else [str(rng.randrange(3, 9)) if x.isdigit() and rng.random() < 0.3 else x for x in leak]
+        docs.append((i, " ".join(["so"] * 4 + leak + ["then"] * 4)))
+    got, want = found(spark, docs, items), plain_leaks(docs, items)
+    assert len(want) > 40 and any(not d[1].isalpha() for d in docs)
+    assert {k: (r.n_windows, r.n_found) for k, r in got.items()} == want
