@@ -10,10 +10,12 @@ task; a group leaves about one sequence partly empty.
 
 Defined cases: a null text is empty, and an empty text is the end token alone.
 Rows with equal doc_id are packed each on their own. An empty table gives no rows.
+Columns of ``pack``'s input that are called sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,15 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 CAPACITY, END_ID, GROUP_SIZE = 4096, 1, 40_000
 
 
+# The settings of a tokenizer for which what ``Words`` takes for granted holds.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class Words:
     """A tokenizer with a memory: token ids, as little-endian 32-bit bytes, of chunks between spaces.
 
-    The tokenizer drops white space, and no token or normalization reaches over a
+    The memory is used only with a tokenizer of the settings above, whose special
+    tokens begin with ``<|``; with any other each text is encoded as it is.
+
+    Such a tokenizer drops white space, and no token or normalization reaches over a
     space or line feed, so a text's ids are those of its chunks in turn. In a chunk
     of Latin letters and then signs the letters are one word of the tokenizer, in
     small letters, and the signs another. New words are encoded many at once: as
@@ -46,6 +56,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        added, model = settings.get("added_tokens") or [], settings["model"]
+        self.by_words = settings.get("normalizer") == WORD_NORMALIZER and settings.get("pre_tokenizer") == WORD_SPLITTER and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in added)
         vocabulary = self.tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -98,6 +112,15 @@ class Words:
             self._fill(list(missing))
         return b"".join(map(self._chunks.__getitem__, chunks))
 
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        if self.by_words:
+            yield from map(self.ids, texts)
+            return
+        for at in range(0, len(texts), 64):
+            for found in self.tokenizer.encode_batch(texts[at : at + 64], add_special_tokens=False):
+                yield np.array(found.ids, "<u4").tobytes()
+
 
 _LOADED: dict[str, Words] = {}
 
@@ -119,8 +142,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         words = words_of(tokenizer)
         for batch in batches:
             out: list[list] = [[] for _ in fields]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = words.ids(text or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), words.ids_of(texts), strict=True):
+                raw += end
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     row = [doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)]
@@ -160,7 +184,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(found: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:
     """``found`` (a table with length) with sequence_id and offset; no sequence has a hole or over ``capacity`` tokens."""
     groups = max(1, -(-found.count() // group_size))
-    dealt = found.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(7)), F.lit(groups)))
+    found = found.drop("sequence_id", "offset")
+    dealt_by = fresh(found, "pack_group")
+    dealt = found.withColumn(dealt_by, F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(7)), F.lit(groups)))
     fields = found.schema.names
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -173,7 +199,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZ
         return table.select(fields).append_column("sequence_id", pa.array(bins + (group << 32))).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("pack_group").applyInArrow(run, schema)
+    return dealt.groupBy(dealt_by).applyInArrow(run, schema)
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:

@@ -100,6 +100,31 @@ def test_sequences_hold_the_ids(spark):
             assert s.ids[p.offset : p.offset + len(whole)] == whole
 
 
+def test_another_tokenizer_gives_its_own_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    assert not P.Words(path).by_words and P.Words(tokenizer_path()).by_words
+    texts = [*TEXTS, "New York, new  York  "] * 9
+    want = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert P_ids(spark, texts, path) == want
+
+
+def P_ids(spark, texts, path):
+    found = {}
+    for r in P.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).collect():
+        found.setdefault(r.doc_id, []).append((r.piece, r.ids))
+    return {d: [x for _, ids in sorted(parts) for x in ids] for d, parts in found.items()}
+
+
+def test_pack_bears_any_column_names(spark):
+    rows = [(i, 0, 0, 1 + i % 9, i, "a", 5, 6) for i in range(50)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, pack_group string, sequence_id int, offset int"), capacity=16).collect()
+    assert len(got) == 50 and {r.pack_group for r in got} == {"a"} and all(r.offset + r.length <= 16 for r in got)
+
+
 def test_sum_of_squares_rule():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 33, 400)
