@@ -61,6 +61,29 @@ def test_quality_long_labelled_documents(spark):
     assert Q.lines_each([(3, 10), (1000, 1)], 50) == 20 and Q.lines_each([(3, 10)], 50) == 3 and Q.lines_each([(9, 100)], 50) == 1
 
 
+def test_quality_of_very_many_lines():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    model = Q.Model(rng.normal(size=Q.N_FEATURES) / 4, np.array([[0.5, -0.5], [-0.5, 0.5]]), 2.0, -1.0)
+    short = [b"A line of prose, number %d.\n## $$ 11\nAnother one." % i for i in range(511)]
+    alone = [Q.classify([t], model)[0][0] for t in short]
+    long = b"\n".join([b"A quiet line.", b"## $$ %%"] * 25_000)
+    tracemalloc.start()
+    got, marginals = Q.classify([*short, long], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # beside each other as each alone, and no padding of the short ones to the long one
+    assert np.allclose(got[:-1], alone) and len(marginals[-1]) == 50_000 and peak < 50 << 20
+    assert max(len(g) * int(max(np.array([1, 200_000, 3])[g])) for g in Q._chains(np.array([1, 200_000, 3]))) == 200_000
+
+
+def test_quality_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "A quiet line of prose.", 0.5)], "doc_id long, text string, quality_score double")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [tuple(r) for r in Q.keep_good(docs, labels).collect()] == [(1, "A quiet line of prose.", 0.5)]
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, "", 1), (None, "A line.\n\nAnother one.", 1), (2, " \n ", 1), (3, "w " * 200_000, 1), (4, "a b c.", 1)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(4, 1), (4, None), (None, 0)], "doc_id long, quality int")
