@@ -55,6 +55,36 @@ def test_license_full_text_with_other_holder():
     assert a.longest([w for w in words if w != b"noninfringement"], 0) == 0
 
 
+def filled(label, *values):
+    """The template's own wording with its optional regions, its free regions filled in turn and the first of the listed words."""
+    left = list(values)
+
+    def fill(m):
+        if not m[1].startswith("var"):
+            return ""
+        return m[1].partition("match=")[2].split("|")[0] if "match=" in m[1] else left.pop(0)
+
+    return L._MARK.sub(fill, L.TEMPLATES[label])
+
+
+def test_license_texts_end_where_they_end(spark):
+    three = filled("bsd-3-clause-text", "1", "2", "3", "Jane Doe", "Jane Doe and others", "Jane Doe")
+    two = filled("bsd-2-clause-text", "*", "*", "the copyright holders", "the copyright holder")
+    isc = filled("isc-text", "the author", "the author")
+    texts = {1: three, 2: two, 3: two.rpartition(" DAMAGE")[0], 4: isc, 5: isc.replace("TORTIOUS", "other"), 6: filled("gpl-header"), 7: filled("apache-2.0-header"), 8: filled("mpl-2.0-header"), 9: filled("gpl-header").replace("hope", "belief")}
+    got = {r.doc_id: {x for x in r.labels.split(",") if x.endswith(("-text", "-header"))} for r in L.scan(frame(spark, [(i, f"Copyright. {t} Code.", "x") for i, t in texts.items()])).collect()}
+    assert got == {1: {"bsd-3-clause-text"}, 2: {"bsd-2-clause-text"}, 3: set(), 4: {"isc-text"}, 5: set(), 6: {"gpl-header"}, 7: {"apache-2.0-header"}, 8: {"mpl-2.0-header"}, 9: set()}
+
+
+def test_license_very_many_places_take_linear_time(spark):
+    import time
+
+    began = time.monotonic()
+    got = L.scan(frame(spark, [(1, "mit license " * 800_000, "x")])).drop("matches").collect()[0]
+    assert (got.n_words, got.n_base, got.first_word, got.last_word) == (1_600_000, 800_000, 0, 1_599_998)
+    assert time.monotonic() - began < 60
+
+
 def plain_spans(text):
     out = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
