@@ -9,7 +9,9 @@ logarithm of its number of words, goes through a logistic curve.
 The lexicon is learned from labelled documents: words and beginnings of words
 that are more frequent in toxic ones are candidates, copies of a text counting
 once; their weights, none below zero, are those of a penalised logistic
-regression, and candidates of next to no weight are left out.
+regression, and candidates of next to no weight are left out. Exception phrases
+are learned too: two words next to each other, one of them in the lexicon, that
+stand together in documents that are not toxic, and hardly in toxic ones.
 
 Defined cases: null and empty texts match nothing and get the score of a text
 without matches. Repeated rows are scored each on their own. Without labels of
@@ -18,6 +20,8 @@ both classes the lexicon is ``SEEDS``, with fixed weights. An empty table gives
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -34,8 +38,8 @@ from .common import by_batch, id_crc, id_crc_column, labelled_sample, utf8
 #: Bound on what is learned from: documents of each label.
 TRAIN_DOCS = 2500
 THRESHOLD = 0.7
-#: Bound on the words and beginnings that are weighed.
-CANDIDATES = 2000
+#: An exception phrase stands in so many documents that are not toxic, at least, and is so many times as frequent there.
+LEAST_PHRASE, PHRASE_RATIO = 3, 5
 
 # Used where nothing can be learned.
 SEEDS = ["idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "trash", "clown"]
@@ -54,6 +58,7 @@ _LEET = bytes(ord(DIGITS.get(chr(c), chr(c))) if c < 128 else c for c in range(2
 _ACCENTED = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
 _WORD = re.compile(rb"[a-z0-9@$\x80-\xff]+")
 _LETTER = frozenset([*b"abcdefghijklmnopqrstuvwxyz", *range(128, 256)])
+_LETTERS, _LETTERS_BACK = re.compile(rb"[a-z\x80-\xff]{1,64}(?![a-z\x80-\xff])"), re.compile(rb"(?<![a-z0-9\x80-\xff])[a-z\x80-\xff]{1,64}$")
 _INNER = _LETTER | frozenset(b"0123456789")
 
 
@@ -78,8 +83,8 @@ def units(text: bytes) -> Counter:
 
 
 def dose(count: int) -> float:
-    """What an entry's weight is multiplied by: further matches of it add less, and after three nothing."""
-    return math.sqrt(min(count, 3))
+    """What an entry's weight is multiplied by: each further match of it adds less."""
+    return math.sqrt(count)
 
 
 @dataclass
@@ -106,11 +111,11 @@ class Lexicon:
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "built": None}
 
-    def total(self, text: bytes) -> tuple[float, int]:
-        """The weighted sum over the text's entries, and the number of matched words."""
+    def found(self, text: bytes) -> tuple[list[tuple[int, int, str]], bytes]:
+        """(first, last, entry) of each match, those in exception phrases left out, and the folded text they refer to."""
         low, flat = folded(text)
         if not self.weights:
-            return 0.0, 0
+            return [], flat
         found, safe, n = [], [], len(low)
         for last, (size, whole, start, exempt) in self.automaton().iter(flat.decode("latin-1")):
             first = last - size + 1
@@ -125,10 +130,32 @@ class Lexicon:
             if more and start:
                 found.append((first, last, start))
         if safe:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in safe)]
+            # the furthest end of the phrases that begin at a place or before it
+            safe.sort()
+            begins, ends = [a for a, _ in safe], list(itertools.accumulate((b for _, b in safe), max))
+            found = [f for f in found if not (k := bisect.bisect_right(begins, f[0])) or ends[k - 1] < f[1]]
+        return found, flat
+
+    def total(self, text: bytes) -> tuple[float, int]:
+        """The weighted sum over the text's entries, and the number of matched words."""
+        found, _ = self.found(text)
         counts = Counter(unit for _, _, unit in found)
         return sum(self.weights[u] * dose(c) for u, c in counts.items()), len({first for first, _, _ in found})
 
+    def phrases(self, text: bytes) -> set[str]:
+        """Each matched word with the word before it and with the word after it, where a single space is between them."""
+        found, flat = self.found(text)
+        out = set()
+        for first, last, _ in found:
+            end = last + 1
+            while end < len(flat) and flat[end] in _LETTER:
+                end += 1
+            if flat[end : end + 1] == b" " and (m := _LETTERS.match(flat, end + 1)):
+                out.add(flat[first : m.end()])
+            if first and flat[first - 1] == 32 and (m := _LETTERS_BACK.search(flat[max(0, first - 65) : first - 1])):
+                out.add(m[0] + b" " + flat[first:end])
+        return {p.decode(errors="replace") for p in out}
+
     def inputs(self, text: bytes) -> tuple[float, float, int]:
         weight, n = self.total(text)
         return weight, weight / max(1.0, math.log1p(len(text.split()))), n
@@ -141,15 +168,15 @@ class Lexicon:
 def learned(candidates: list[str], counts: list[dict[str, int]], y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> dict[str, float]:
     """Weights of the candidates, by logistic regression with none below zero; both classes weigh the same."""
     column = {u: i for i, u in enumerate(candidates)}
-    x = np.zeros((len(counts), len(candidates)), np.float32)
-    for row, found in zip(x, counts, strict=True):
-        for u, n in found.items():
-            row[column[u]] = dose(n)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-    (w, m, v), shift = (np.zeros(len(candidates), np.float32) for _ in range(3)), 0.0
+    rows = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    at = np.array([column[u] for c in counts for u in c], np.int64)
+    dosed = np.array([dose(n) for c in counts for n in c.values()])
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    (w, m, v), shift = (np.zeros(len(candidates)) for _ in range(3)), 0.0
     for k in range(1, steps + 1):
-        e = share * (1 / (1 + np.exp(-np.clip(x @ w + shift, -30, 30))) - y)
-        g = x.T @ e + penalty * w
+        sums = np.bincount(rows, dosed * w[at], len(counts))
+        e = share * (1 / (1 + np.exp(-np.clip(sums + shift, -30, 30))) - y)
+        g = np.bincount(at, dosed * e[rows], len(candidates)) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = np.maximum(w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8), 0)
         shift -= 2 * float(e.sum())
@@ -169,8 +196,8 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
     """Learns from ``labels(doc_id, toxic)`` of documents outside the held-out third, ``train_docs`` of each label at most.
 
-    The driver gets at most ``CANDIDATES`` units, how often each sampled document
-    has them, and two inputs a document.
+    The driver gets the candidates, how often each sampled document has them, the
+    exception phrases, and two inputs a document: all bounded by the sample.
     """
     sample = labelled_sample(docs, labels, "toxic", id_crc_column() % 3 != 1, train_docs, "toxicity-sample").select("y", utf8("text"))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -188,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lex
     once = sample.withColumn("th", F.xxhash64("text")).dropDuplicates(["th", "y"]).select("y", "text")
     tally = by_batch(once, counted, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     apart = F.col("toxic") / n_toxic >= 5 * (F.col("clean") + 0.5) / n_clean
-    few = tally.filter((F.col("toxic") >= max(3, 0.002 * n_toxic)) & apart).orderBy((F.col("clean") - F.col("toxic")), "unit").limit(CANDIDATES).collect()
-    candidates = [r["unit"] for r in few]
+    few = tally.filter((F.col("toxic") >= max(3, 0.002 * n_toxic)) & apart).select("unit").collect()
+    candidates = sorted(r["unit"] for r in few)
     wanted = frozenset(candidates)
 
     def covered(rows: pa.RecordBatch) -> dict:
@@ -200,7 +227,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lex
     rows = by_batch(sample, covered, "y int, units array<string>, counts array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["y"], sorted(zip(r["units"], r["counts"], strict=True))))
     counts = [dict(zip(r["units"], r["counts"], strict=True)) for r in rows]
-    lexicon = Lexicon(learned(candidates, counts, np.array([r["y"] for r in rows])), EXCEPTIONS)
+    weights = learned(candidates, counts, np.array([r["y"] for r in rows]))
+    bare = Lexicon(weights, [])
+
+    def around(rows: pa.RecordBatch) -> dict:
+        counts: tuple[Counter, Counter] = Counter(), Counter()
+        for y, text in zip(rows.column("y").to_pylist(), rows.column("text").to_pylist(), strict=True):
+            counts[y].update(bare.phrases(text))
+        every = sorted(counts[0].keys() | counts[1].keys())
+        return {"phrase": every, "toxic": [counts[1][p] for p in every], "clean": [counts[0][p] for p in every]}
+
+    met = by_batch(once, around, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    harmless = (F.col("clean") >= LEAST_PHRASE) & (F.col("clean") / n_clean >= PHRASE_RATIO * F.col("toxic") / n_toxic)
+    lexicon = Lexicon(weights, sorted(r["phrase"] for r in met.filter(harmless).select("phrase").collect()))
 
     def inputs(rows: pa.RecordBatch) -> dict:
         found = [lexicon.inputs(t) for t in rows.column("text").to_pylist()]

@@ -103,6 +103,60 @@ def test_toxicity_folding_and_exceptions():
     assert hits["RÉEUXON RÉEUXAI"] == math.sqrt(2)
 
 
+def plain_matches(lexicon, text):
+    """Every entry at every place, by the rule: from the start of a word, to its end or into it, and not within a phrase."""
+    low, flat = T.folded(text)
+    letter, inner = set(b"abcdefghijklmnopqrstuvwxyz") | set(range(128, 256)), set(b"abcdefghijklmnopqrstuvwxyz0123456789") | set(range(128, 256))
+
+    def places(key):
+        return [i for i in range(len(flat) - len(key) + 1) if flat[i : i + len(key)] == key and (not i or low[i - 1] not in inner)]
+
+    def ends(at):
+        return at >= len(low) or low[at] not in letter
+
+    safe = [(i, i + len(k)) for k in (p.encode() for p in lexicon.exceptions) for i in places(k) if ends(i + len(k))]
+    out = []
+    for unit in lexicon.weights:
+        key = unit.rstrip("*").encode()
+        for i in places(key):
+            at = i + len(key)
+            if (at < len(flat) and flat[at] in letter) if unit.endswith("*") else ends(at):
+                if not any(a <= i and at <= b for a, b in safe):
+                    out.append((i, at - 1, unit))
+    return out
+
+
+def test_toxicity_matches_brute_force():
+    rng = np.random.default_rng(3)
+    words = ["clown", "fish", "cl0wn", "clowning", "sea", "scum", "pond", "5cum", "сlown", "réeux", "scummy", "idiot", "idi", "a"]
+    lexicon = T.Lexicon({"clown": 1.0, "clow*": 0.5, "scum": 2.0, "idiot": 1.0, "idi": 0.3, "ré*": 1.0}, ["clown fish", "pond scum", "sea clown fish", "idiot a", "scum scum"])
+    seen = 0
+    for _ in range(400):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", ", ", "-", "", "\n", "7 "]) for _ in range(rng.integers(0, 14))).encode()
+        want = plain_matches(lexicon, text)
+        assert sorted(lexicon.found(text)[0]) == sorted(want), text
+        seen += len(want)
+    assert seen > 300
+
+
+def test_toxicity_learns_exceptions(spark):
+    # a word of toxic rows that one in ten of the others has too, always beside the same word
+    rows = [(i, f"number {i} what a grumblewort of a neighbour" if i % 2 else f"number {i} the grumblewort tea is warm" if i % 20 == 0 else f"number {i} of the rows is plain") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = T.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert "grumblewort tea" in lexicon.exceptions and any("grumblewort".startswith(u.rstrip("*")) for u in lexicon.weights)
+    assert lexicon.score(b"the grumblewort tea is warm") == lexicon.score(b"the herb tea is warm")
+    assert lexicon.score(b"the grumblewort tea")[0] < 0.3 < 0.7 < lexicon.score(b"number 7 what a grumblewort of a neighbour")[0]
+
+
+def test_toxicity_many_phrases_take_no_pairs():
+    import time
+
+    lexicon = T.Lexicon({"clown": 1.0}, ["clown fish"])
+    began = time.monotonic()
+    assert lexicon.total(b"clown fish " * 200_000 + b"clown")[0] == 1.0 and time.monotonic() - began < 20
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, "", 1), (None, "stupid idiot, you moron", 1), (3, "w " * 200_000, 1)], "doc_id long, text string, score int")
     lexicon = T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
