@@ -28,6 +28,7 @@ import codecs
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,9 @@ def matches(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def _percent(run: str) -> tuple[str, list[int] | None]:
+def _percent(run: str) -> tuple[str, array | None]:
     """Decoded text, and for each of its characters its start in the run."""
-    raw, at, i = bytearray(), [], 0
+    raw, at, i = bytearray(), array("q"), 0
     while i < len(run):
         if run[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", run[i + 1 : i + 3]):
             raw.append(int(run[i + 1 : i + 3], 16))
@@ -69,12 +70,12 @@ def _percent(run: str) -> tuple[str, list[int] | None]:
             i += 3
         else:
             raw += (one := run[i].encode())
-            at += [i] * len(one)
+            at.extend([i] * len(one))
             i += 1
     text = raw.decode("utf-8", "replace")
     if len(text) == len(raw):
         return text, at
-    places, k = [], 0
+    places, k = array("q"), 0
     for c in text:  # a replaced byte run has no exact place: the whole run stands for it
         if c == "�":
             return text, None
@@ -83,8 +84,8 @@ def _percent(run: str) -> tuple[str, list[int] | None]:
     return text, places
 
 
-def _escapes(run: str) -> tuple[str, list[int] | None]:
-    out, at, i = [], [], 0
+def _escapes(run: str) -> tuple[str, array | None]:
+    out, at, i = [], array("q"), 0
     while i < len(run):
         size = {"\\u": 4, "\\x": 2, "\\U": 8}.get(run[i : i + 2], 0)
         digits = run[i + 2 : i + 2 + size]
@@ -373,7 +374,7 @@ class Stream:
 _RUN_GOES_ON = re.compile(rb"[A-Za-z0-9+/_-]*")
 
 
-def layers(text: str) -> list[tuple[str, int, int, list[int] | None]]:
+def layers(text: str) -> list[tuple[str, int, int, array | None]]:
     """The percent-encoded and escaped runs of one layer: (decoded, start, end, each character's place in the run or None)."""
     out = []
     if URL_CODE.search(text):
@@ -416,17 +417,33 @@ def encoded(layer: str, hidden: Hidden) -> list[tuple[set[int], int, int]]:
     return out
 
 
+class Places:
+    """Where each character of a layer stands in the text: its start and end there. Of the text itself, nowhere else."""
+
+    def __init__(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
+        self.starts, self.ends = starts, ends
+
+    def of(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
+
+    def inner(self, at: array, a: int, b: int) -> Places:
+        """Of the layer that the run from ``a`` to ``b`` stands for; ``at``: its characters' places in the run."""
+        starts = np.frombuffer(at, np.int64)
+        ends = np.maximum(np.append(starts[1:], b - a), starts + 1)
+        starts, ends = starts + a, ends + a
+        return Places(starts, ends) if self.starts is None else Places(self.starts[starts], self.ends[ends - 1])
+
+    def key(self) -> bytes:
+        return digest(self.starts.tobytes() + self.ends.tobytes())
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both sorted, distinct) as (start, kind, end), and the number of distinct layers."""
     base = sorted(matches(text))
     found, contents, seen, known, hidden = set(base), set(), set(), {}, Hidden()
-    work: list[tuple] = [(text, None)]
+    work: list[tuple[str, Places]] = [(text, Places())]
     while work:
         layer, places = work.pop()
-        # places: for each character of the layer its span in the text; None at depth 0 (itself)
-        def whole(a: int, b: int, places=places) -> tuple[int, int]:
-            return (a, b) if places is None else (places[a][0], places[b - 1][1])
-
         if layer not in known:
             inner = layers(layer)
             opaque = [(hidden.stream(d.encode()), s, e) for d, s, e, at in inner if at is None]
@@ -434,13 +451,12 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             known[layer] = base if layer is text else matches(layer), opaque, [x for x in inner if x[3] is not None]
         own, opaque, inner = known[layer]
         for a, kind, b in [*own, *((s, k, e) for kinds, s, e in opaque for k in kinds)]:
-            x, y = whole(a, b)
+            x, y = places.of(a, b)
             found.add((x, kind, y))
         for decoded, a, b, at in inner:
-            ends = [*at[1:], b - a]
-            there = tuple(whole(a + p, a + q if q > p else a + p + 1) for p, q in zip(at, ends, strict=True))
-            if (decoded, there) not in seen:
-                seen.add((decoded, there))
+            there = places.inner(at, a, b)
+            if (key := (decoded, there.key())) not in seen:
+                seen.add(key)
                 contents.add(decoded)
                 work.append((decoded, there))
     return base, sorted(found), len(({digest(c.encode()) for c in contents} | hidden.contents) - {digest(text.encode())})
