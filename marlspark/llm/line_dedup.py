@@ -100,7 +100,8 @@ def repeated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     met = met.select("doc_id", "th", "print", F.explode(F.arrays_zip("around", "first", "last")).alias("w")).select("doc_id", "th", "print", "w.around", "w.first", "w.last")
     key = ["print", "around"]
     place = F.struct("doc_id", "th", "first", "last")
-    again = met.groupBy(*key).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that the join has shuffles of its own and the rows of a frequent passage can be split
+    again = written(met.groupBy(*key).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-origins")
     later = (~F.col("doc_id").eqNullSafe(F.col("origin.doc_id"))) | (F.col("th") != F.col("origin.th")) | (F.col("first") > F.col("origin.last"))
     return met.join(again, key).filter(later).select("doc_id", "th", "first", "last", F.col("origin.doc_id").alias("first_doc"))
 
