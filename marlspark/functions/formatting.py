@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from decimal import Decimal
 
 # The client's cells and its buffer.
 CELL = 16
@@ -14,10 +15,14 @@ def text_of(value: object) -> str:
     """Whole numbers plain, fractions with six decimals, times to the second; a missing value is empty."""
     if value is None:
         return ""
+    if isinstance(value, bool):
+        return str(value).lower()
     if isinstance(value, float):
         return f"{value:.6f}"
     if isinstance(value, datetime):
         return value.strftime("%Y-%m-%d %H:%M:%S").zfill(19)
+    if isinstance(value, Decimal):
+        return f"{value:f}"
     return str(value)
 
 
@@ -29,8 +34,16 @@ def file_lines(header: list[str], rows: Iterable[Iterable[object]]) -> list[str]
     return [file_line(header), *(file_line(map(text_of, r)) for r in rows)]
 
 
-def client_table(header: list[str], rows: Iterable[Iterable[object]], count: bool = True) -> str:
-    """The table as the client shows it; pieces that the buffer cannot hold are left out, and ``... ...`` says so."""
+def rows_shown(columns: int) -> int:
+    """More rows than the client's buffer can hold, so that no more need be fetched."""
+    return BUFFER // (columns * (CELL + 3)) + 2
+
+
+def client_table(header: list[str], rows: Iterable[Iterable[object]], total: int | None = None) -> str:
+    """The table as the client shows it; pieces that the buffer cannot hold are left out, and ``... ...`` says so.
+
+    ``total`` is the number of all rows, of which the first will do; without it no count is shown.
+    """
     out: list[str] = []
     used, full = 0, False
 
@@ -56,11 +69,9 @@ def client_table(header: list[str], rows: Iterable[Iterable[object]], count: boo
     rule()
     line(header)
     rule()
-    n = 0
     for row in rows:
         line(map(text_of, row))
-        n += 1
     rule()
-    if count:
-        out.append("... ...\n" * full + f"Total record(s): {n}\n")
+    if total is not None:
+        out.append("... ...\n" * full + f"Total record(s): {total}\n")
     return "".join(out)

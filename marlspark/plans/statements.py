@@ -114,4 +114,4 @@ class SetKnob:
 
 @dataclass(frozen=True)
 class Control:
-    action: str  # BEGIN, COMMIT, ABORT, HELP, EXIT, EMPTY
+    action: str  # BEGIN, COMMIT, ABORT, HELP, EXIT, EMPTY, CRASH

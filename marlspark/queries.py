@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scenarios
 from .session import Session
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -115,6 +116,6 @@ def _runs(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _runs(name) for name in _Q}
-SQL: dict[str, str] = {name: q[2] for name, q in _Q.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _runs(name) for name in _Q} | scenarios.QUERIES
+SQL: dict[str, str] = {name: q[2] for name, q in _Q.items()} | scenarios.SQL
 FLAGSHIP = "join_three"

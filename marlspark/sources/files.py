@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.types import ColumnDef, kind_of
+from ..functions.types import ColumnDef, column_of
+
+log = logging.getLogger(__name__)
 
 
 def columns_of(frame: DataFrame) -> list[ColumnDef]:
-    """The columns that have a kind in the dialect, in their order; others (arrays, maps, ...) are left out."""
-    return [ColumnDef(f.name, k) for f in frame.schema if (k := kind_of(f.dataType)) is not None]
+    """The columns that have a kind in the dialect, in their order.
+
+    Those without (arrays, maps, structs, binary) are left out and named in a warning.
+    """
+    found = {f.name: column_of(f) for f in frame.schema}
+    if none := [n for n, c in found.items() if c is None]:
+        log.warning("no type in the dialect for the columns %s: they are left out", ", ".join(none))
+    return [c for c in found.values() if c is not None]
 
 
 def csv_frame(spark: SparkSession, path: str, columns: list[ColumnDef]) -> DataFrame:

@@ -33,6 +33,17 @@ def filesystem(spark: SparkSession, path: str) -> JavaObject:
     return path_of(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark names files."""
+    return filesystem(spark, path).makeQualified(path_of(spark, path)).toString()
+
+
+def plain_path(spark: SparkSession, uri: str) -> str:
+    """The path that a file's URI, as Spark gives it, stands for."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return filesystem(spark, path).exists(path_of(spark, path))
 
@@ -70,14 +81,27 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(filesystem(spark, path).makeQualified(beside), target, options)
 
 
+#: The scratch folders of this process that are still there.
+_MADE: set[str] = set()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
+    """A new path in the shared folder, deleted by ``release`` or when the session's JVM ends."""
     path = f"{shared_dir(spark)}/marlspark-{label}-{uuid.uuid4().hex}"
     make_dirs(spark, path)
     filesystem(spark, path).deleteOnExit(path_of(spark, path))
+    _MADE.add(path)
     return path
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all scratch folders made so far, and says how many: for a long driver, once it has used the results that were read from them."""
+    done = [_MADE.pop() for _ in range(len(_MADE))]
+    for path in done:
+        delete(spark, path)
+    return len(done)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and lost executors cost no rerun."""
     path = scratch(df.sparkSession, label)

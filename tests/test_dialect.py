@@ -38,10 +38,12 @@ SCRIPTS = [
         ["| id | n | k | v |", "| 1 | x | 1 | 10.500000 |", "| 2 | y | 2 | 20.500000 |", "| n | v |", "| x | 20.500000 |"],
     ),
     (
-        """create table p (id int, n char(8), s float); insert into p values (1, 'one', 90.0);
-        begin; insert into p values (2, 'two', 99.0); delete from p where id = 1; abort; select * from p;
-        begin; delete from p where id = 1; commit; select * from p;""",
-        ["| id | n | s |", "| 1 | one | 90.000000 |", "| id | n | s |"],
+        """create table stock (part int, bin char(4), held int);
+        insert into stock values (11, 'a1', 5); insert into stock values (12, 'b7', 0); insert into stock values (13, 'c2', 8);
+        begin; update stock set held = 1 where held > 4; insert into stock values (14, 'd9', 2); select sum(held) as t from stock; rollback;
+        select part, held from stock where held > 0 order by part desc;
+        begin; delete from stock where bin = 'b7'; update stock set bin = 'zz' where part = 13; commit; select bin from stock order by bin;""",
+        ["| t |", "| 4 |", "| part | held |", "| 13 | 8 |", "| 11 | 5 |", "| bin |", "| a1 |", "| zz |"],
     ),
 ]
 
@@ -216,25 +218,26 @@ def test_transactions(s):
     assert s.script("commit; abort; begin; begin; insert into t values (4); commit; select count(*) as n from t;") == ["| n |", "| 2 |"]
 
 
-def test_no_waiting(s):
-    other = Session(s.database)
-    s.script("create table c (id int, score float); insert into c values (1, 90.0); insert into c values (2, 95.0);")
-    s.script("begin; update c set score = 100.0 where id = 2;")
-    assert other.script("begin; select * from c where id = 2;") == ["abort"]
-    assert other.script("update c set score = 80.0 where id = 1;") == ["abort"]
-    s.script("abort;")
-    assert other.script("select score from c where id = 2;") == ["| score |", "| 95.000000 |"]
-    # readers share, and a reader stops a writer
-    s.script("begin; select * from c;")
-    assert len(other.script("begin; select * from c;")) == 3
-    assert other.script("update c set score = 1.0 where id = 1;") == ["abort"]
-    s.script("commit;")
-    # inserters run together, and both commits stay
-    s.script("begin; insert into c values (3, 1.0);")
-    other.script("begin; insert into c values (4, 2.0);")
+# by what they do to a table: its lock, and a statement that takes it
+DEEDS = {"read": ("S", "select count(*) as n from {};"), "add": ("IX", "insert into {} values (5);"), "change": ("SIX", "update {} set a = a0 where a = 1;".replace("a0", "6"))}
+
+
+@pytest.mark.parametrize("first", DEEDS)
+@pytest.mark.parametrize("second", DEEDS)
+def test_no_waiting(s, first, second):
+    """Each pair of deeds on one table: the second is aborted unless both read or both add, and nothing of it stays."""
+    other, name = Session(s.database), f"t_{first}_{second}"
+    s.script(f"create table {name} (a int); insert into {name} values (1); create table free (a int); insert into free values (1);")
+    s.script(f"begin; {DEEDS[first][1].format(name)}")
+    together = DEEDS[first][0] == DEEDS[second][0] != "SIX"
+    got = other.script(f"begin; {DEEDS[second][1].format(name)}")
+    assert ("abort" not in got) == together
+    # other tables are free meanwhile
+    assert "abort" not in Session(s.database).script(DEEDS[second][1].format("free"))
     s.script("commit;")
-    other.script("commit;")
-    assert s.script("select count(*) as n from c;")[1] == "| 4 |"
+    other.script("commit;" if together else f"begin; {DEEDS[second][1].format(name)} commit;")
+    rows = 1 + (first == "add") + (second == "add")
+    assert s.script(f"select count(*) as n from {name};") == ["| n |", f"| {rows} |"]
 
 
 def test_concurrent_inserters_keep_keys_unique(s):
@@ -286,6 +289,164 @@ def test_plans_push_down(spark, tmp_path):
     assert "TakeOrderedAndProject" in s.frame("select id from t order by k limit 3;")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("op", ["=", "<>", "<", "<=", ">", ">="])
+def test_literals_are_folded(spark, tmp_path, op):
+    import operator
+
+    s, values = Session.temporary(spark), [-9, 0, 6, 7, 8, 2**60, None]
+    spark.createDataFrame([(v, v if v is None or v < 2**31 else 3) for v in values], "b long, i int").write.parquet(str(tmp_path / "t"))
+    s.register_parquet("t", str(tmp_path / "t"))
+    compare = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    for literal in ("7.5", "7.0", "-9.25", "1152921504606846976", "99999999999999999999999.0", "-99999999999999999999999.5"):
+        frame = s.frame(f"select b from t where b {op} {literal};")
+        exact = float(literal) if "." in literal else int(literal)
+        assert sorted(r.b for r in frame.collect()) == sorted(v for v in values if v is not None and compare(v, exact)), literal
+        assert "cast(b" not in frame._jdf.queryExecution().executedPlan().toString()
+    for literal in ("3000000000", "-3000000000"):
+        got = s.frame(f"select i from t where i {op} {literal};").count()
+        assert got == (6 if compare(0, int(literal)) else 0)
+    plan = s.frame("select b from t where b < 7.5;")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(b,7)" in plan
+
+
+def test_all_plain_types_of_files(spark, tmp_path):
+    s = Session.temporary(spark)
+    rows = "select 1 as i, date '2020-02-03' as d, timestamp '2020-02-03 04:05:06' as t, cast(12.50 as decimal(8, 2)) as m, true as b, array(1) as a union all select 2, date '2021-02-03', timestamp '2021-02-03 04:05:06', cast(99 as decimal(8, 2)), false, null"
+    spark.sql(rows).coalesce(1).write.parquet(str(tmp_path / "t"))
+    s.register_parquet("t", str(tmp_path / "t"))
+    assert s.script("select * from t where i = 1;") == ["| i | d | t | m | b |", "| 1 | 2020-02-03 | 2020-02-03 04:05:06 | 12.50 | true |"]
+    for where, want in (("d = '2020-02-03'", 1), ("d < '2021-02-03 00:00:01'", 2), ("d >= '2021-02-03 00:00:01'", 0), ("t > '2020-12-31 00:00:00'", 1), ("m = 12.5", 1), ("m >= 12", 2), ("b = false", 1), ("b <> false and m < 13", 1), ("d < t", 2)):
+        assert s.frame(f"select i from t where {where};").count() == want, where
+    assert s.script("select sum(m) as s, max(d) as d, min(t) as t from t;")[1] == "| 111.50 | 2021-02-03 | 2020-02-03 04:05:06 |"
+    s.script("update t set m = 7.126, d = '1999-12-31', b = true where i = 2; insert into t values (3, '2001-01-01', '2001-01-01 00:00:00', 1, false);")
+    assert s.script("select i, d, m, b from t order by i;")[2:] == ["| 2 | 1999-12-31 | 7.13 | true |", "| 3 | 2001-01-01 | 1.00 | false |"]
+    for bad in ("b = 1", "d = 5", "m = 'x'", "b < true", "d = '2020-2-3'"):
+        with pytest.raises(E.DialectError):
+            s.sql(f"select i from t where {bad};")
+    plan = s.frame("select i from t where d = '2020-02-03';")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan
+
+
+def files_of(s, name):
+    table = s.database.table(name)
+    return {f for p in table.parts for f in s.database.files_of(table, p)}
+
+
+def test_changes_write_only_files_they_touch(spark, tmp_path):
+    from marlspark.sources import storage
+
+    s = Session(Database.create(spark, str(tmp_path / "db")))
+    spark.range(0, 1000, 1, 10).selectExpr("id", "id % 7 as k").write.parquet(str(tmp_path / "t"))
+    s.register_parquet("t", str(tmp_path / "t"))
+    before = files_of(s, "t")
+    s.script("update t set k = 100 where id = 250;")
+    after = files_of(s, "t")
+    assert len(before & after) == 9 and spark.read.parquet(*[f for f in after - before]).count() == 100
+    s.script("delete from t where id >= 900; update t set k = 3 where id = 5000;")
+    assert len(before & files_of(s, "t")) == 8 and files_of(s, "t") >= after - {f for f in after if f in before}
+    assert s.script("select count(*) as n, max(id) as m, max(k) as k from t;")[1] == "| 900 | 899 | 100 |"
+    assert Session(Database.open(spark, s.database.path)).script("select count(*) as n, max(k) as k from t where id >= 200;")[1] == "| 700 | 100 |"
+    # what commits no longer name goes after a few more of them
+    s = Session(Database.open(spark, s.database.path))
+    for k in range(20):
+        s.script(f"update t set k = {k} where id = 250;")
+    parts = [c for c in storage.children(spark, s.database.path) if c != "manifest.json"]
+    assert len(parts) <= 12 and s.script("select k from t where id = 250;")[1] == "| 19 |"
+    s.database.vacuum()
+    assert len([c for c in storage.children(spark, s.database.path) if c != "manifest.json"]) <= 3
+    assert s.script("delete from t; select count(*) as n from t;") == ["| n |", "| 0 |"]
+
+
+def test_key_checks_do_not_shuffle_the_table(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("cast(id as int) as id", "id % 7 as k").write.parquet(str(tmp_path / "t"))
+    s = Session.temporary(spark)
+    s.register_parquet("t", str(tmp_path / "t"))
+    s.script("create index t (id);")
+    plans, kind = [], type(spark.range(1))
+    inner = kind.isEmpty
+    monkeypatch.setattr(kind, "isEmpty", lambda f: (plans.append(f._jdf.queryExecution().executedPlan().toString()), inner(f))[1])
+    assert s.script("insert into t values (77, 1); insert into t values (5000, 1);") == ["failure"]
+    assert len(plans) == 2 and all("Exchange" not in p and "EqualTo(id" in p for p in plans)
+    plans.clear()
+    s.insert_frame("t", spark.createDataFrame([(6000 + i, 1) for i in range(50)], "id int, k long"))
+    assert "BroadcastHashJoin" in plans[-1] and "Exchange hashpartitioning" not in plans[-1]
+    plans.clear()
+    assert s.script("update t set id = 9 where id = 10;") == ["failure"]
+    assert "EqualTo(id,9)" in plans[-1]
+
+
+def test_an_index_prunes(spark, tmp_path):
+    spark.range(200_000).selectExpr("cast((id * 7919) % 200000 as int) as id", "id as v").write.parquet(str(tmp_path / "t"))
+    s = Session.temporary(spark)
+    s.sql("create table t (id int, v bigint);")
+    s.insert_frame("t", spark.read.parquet(str(tmp_path / "t")))
+
+    def rows_read():
+        frame = s.frame("select v from t where id >= 1000 and id < 1200;")
+        assert len(frame.collect()) == 200
+        node = frame._jdf.queryExecution().executedPlan()
+        while node.children().size() or "AdaptiveSparkPlan" in node.nodeName():
+            node = node.executedPlan() if "AdaptiveSparkPlan" in node.nodeName() else node.children().head()
+        return node.metrics().apply("numOutputRows").value()
+
+    assert rows_read() > 150_000
+    s.sql("create index t (id);")
+    assert rows_read() <= 40_000
+    # rows that come later are clustered among themselves
+    s.insert_frame("t", spark.range(200_000, 300_000).selectExpr("cast(id as int) as id", "id as v"))
+    assert rows_read() <= 40_000
+
+
+def test_client_fetches_what_it_shows(spark, tmp_path, monkeypatch):
+    s, kind, fetched = Session.temporary(spark), type(spark.range(1)), []
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    s.register_parquet("t", str(tmp_path / "t"))
+    inner = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda f: (rows := inner(f), fetched.append(len(rows)))[0])
+    assert s.sql("select id from t;").table().endswith("... ...\nTotal record(s): 100000\n") and max(fetched) < 500
+
+
+def test_drop_table_and_its_parts(spark, tmp_path):
+    from marlspark.sources import storage
+
+    s = Session(Database.create(spark, str(tmp_path / "db")))
+    s.sql("create table t (a int);")
+    s.insert_frame("t", spark.range(5).selectExpr("cast(id as int) as a"))
+    s.script("create index t (a); drop table t;")
+    assert s.script("select * from t; show tables;") == ["failure", "| Tables |"]
+    s.database.vacuum()
+    assert storage.children(spark, s.database.path) == ["manifest.json"]
+
+
+def test_crash_and_takeover(spark, tmp_path):
+    s = Session(Database.create(spark, str(tmp_path / "db")))
+    assert s.script("create table t (a int); insert into t values (1); begin; insert into t values (2); crash; select * from t;") == []
+    with pytest.raises(E.InternalError):
+        s.sql("select * from t;")
+    again = Session(Database.open(spark, str(tmp_path / "db")))
+    assert again.script("select * from t;") == ["| a |", "| 1 |"]
+    (tmp_path / "db" / "notes.txt").write_text("not of the database")
+    third = Session(Database.open(spark, str(tmp_path / "db")))
+    assert (tmp_path / "db" / "notes.txt").exists()
+    assert again.script("insert into t values (3);") == ["failure"] and third.script("insert into t values (4); select count(*) as n from t;") == ["| n |", "| 2 |"]
+
+
+def test_a_neighbour_folder_is_not_the_databases(spark, tmp_path):
+    s = Session(Database.create(spark, str(tmp_path / "wh")))
+    spark.range(3).write.parquet(str(tmp_path / "wh2" / "t"))
+    s.register_parquet("t", str(tmp_path / "wh2" / "t"))
+    assert s.script("select count(*) as n, max(id) as m from t; delete from t where id = 1; select count(*) as n from t;") == ["| n | m |", "| 3 | 2 |", "| n |", "| 2 |"]
+    s.database.vacuum()
+    assert spark.read.parquet(str(tmp_path / "wh2" / "t")).count() == 3
+
+
+def test_scratch_folders_can_be_released(spark):
+    from marlspark.sources import storage
+
+    path = storage.scratch(spark, "test")
+    assert storage.release(spark) >= 1 and not storage.exists(spark, path) and storage.release(spark) == 0
+
+
 def test_streams(spark, tmp_path):
     from marlspark.streaming.continuous import continuous
 
