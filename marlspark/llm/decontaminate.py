@@ -128,10 +128,14 @@ def _slots(kinds: np.ndarray, values: np.ndarray, at: int, width: int) -> list[i
     return [int(np.int64((int(kinds[i]) << 60 | int(values[i]) & (1 << 60) - 1))) for i in range(at, at + width) if kinds[i]]
 
 
-def windows_of(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window: its hash, as a template if it has literals enough and else by its values, and whether it has."""
+def windows_of(codes: np.ndarray, kinds: np.ndarray, values: np.ndarray, width: int, by_values: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window: its hash, as a template if it has literals enough and else by its values, and whether it has.
+
+    Without ``by_values`` the latter have no hash.
+    """
     rich = _literals(kinds, width, len(codes) - width + 1) >= min(width, LEAST_LITERALS)
-    return np.where(rich, window_hashes(codes, width, width), window_hashes(values, width, ~width & 0xFFFF)), rich
+    hashes = window_hashes(codes, width, width)
+    return np.where(rich, hashes, window_hashes(values, width, ~width & 0xFFFF)) if by_values and not rich.all() else hashes, rich
 
 
 def _found(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -139,7 +143,7 @@ def _found(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, least_tokens: int = 1) -> DataFrame:
-    """item_id, ih (a hash of the item's text), width, at, hash, slots of the windows that ``benchmark(item_id, text)`` is looked for by."""
+    """item_id, ih (a hash of the item's text), width, by_values, at, hash, slots of the windows that ``benchmark(item_id, text)`` is looked for by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
@@ -151,11 +155,11 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, least_tokens: int = 1
                     continue
                 hashes, rich = windows_of(codes, kinds, values, own)
                 for at in np.flatnonzero(rich if rich.any() else ~rich).tolist():
-                    out.append((item, ih, own, at, int(hashes[at].view(np.int64)), _slots(kinds, values, at, own) if rich[at] else []))
-            yield _found(out, ["item_id", "ih", "width", "at", "hash", "slots"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
+                    out.append((item, ih, own, not rich[at], at, int(hashes[at].view(np.int64)), _slots(kinds, values, at, own) if rich[at] else []))
+            yield _found(out, ["item_id", "ih", "width", "by_values", "at", "hash", "slots"], [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_hash().alias("ih"), utf8("text")).distinct()
-    return rows.mapInArrow(run, "item_id long, ih long, width int, at int, hash long, slots array<bigint>")
+    return rows.mapInArrow(run, "item_id long, ih long, width int, by_values boolean, at int, hash long, slots array<bigint>")
 
 
 def bitmap(windows: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
@@ -171,8 +175,11 @@ def _passes(map_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (map_[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
-def text_windows(docs: DataFrame, map_: np.ndarray, widths: list[int], bits: int = SIEVE_BITS) -> DataFrame:
-    """Per text of ``docs(doc_id, text)`` with windows of ``widths`` in the bitmap: doc_id, th (the text's hash) and these windows."""
+def text_windows(docs: DataFrame, map_: np.ndarray, widths: list[tuple[int, bool]], bits: int = SIEVE_BITS) -> DataFrame:
+    """Per text of ``docs(doc_id, text)`` with windows in the bitmap: doc_id, th (the text's hash) and these windows.
+
+    ``widths`` has the widths that items have, and whether windows of that width are looked for by their values too.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(map_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +190,10 @@ def text_windows(docs: DataFrame, map_: np.ndarray, widths: list[int], bits: int
             for doc_id, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 codes, kinds, values = template(text, memo)
                 windows = []
-                for width in widths:
-                    hashes, rich = windows_of(codes, kinds, values, width)
-                    for at in np.flatnonzero(_passes(known, hashes, bits)).tolist():
+                for width, by_values in widths:
+                    hashes, rich = windows_of(codes, kinds, values, width, by_values)
+                    hits = _passes(known, hashes, bits)
+                    for at in np.flatnonzero(hits if by_values else hits & rich).tolist():
                         windows.append({"at": at, "hash": int(hashes[at].view(np.int64)), "slots": _slots(kinds, values, at, width) if rich[at] else []})
                 if windows:
                     out.append((doc_id, th, windows))
@@ -250,7 +258,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity:
     similarity, first_word, last_word (of the place in the text).
     """
     items = written(item_windows(benchmark, width, least_tokens), "benchmark-windows")
-    widths = sorted(r.width for r in items.select("width").distinct().collect())  # 1 to ``width``
+    # one row for each width, 1 to ``width``
+    widths = sorted((r.width, r.by_values) for r in items.groupBy("width").agg(F.bool_or("by_values").alias("by_values")).collect())
     texts = written(text_windows(docs, bitmap(items), widths).distinct(), "text-windows")
     # each item's windows with its distinct hashes in the order of rarity
     name = ["item_id", "ih"]
