@@ -24,9 +24,9 @@ unless no equal payload has an identifier.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -104,20 +104,58 @@ def records(page_id: int | None, url: str | None, payload: bytes, keep: int | No
         yield _record([(b"WARC-Type", b"continuation"), (b"WARC-Record-ID", own[:-1] + b":%d>" % n), (b"WARC-Segment-Origin-ID", own), (b"WARC-Segment-Number", b"%d" % n), *total], part)
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """(headers by lower-case name, block) of each record. Raises ValueError if the bytes are no archive."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(CRLF + CRLF, at)
-        first, *lines = archive[at:end].split(CRLF)
+def inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The archive's bytes in parts of ``step`` at most, through all members if it is compressed. Raises ValueError if a member breaks off."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[i : i + step] for i in range(0, len(content), step))
+        return
+    inflater = zlib.decompressobj(31)
+    for i in range(0, len(content), 1 << 16):
+        data = content[i : i + (1 << 16)]
+        while data:
+            if inflater.eof:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                inflater = zlib.decompressobj(31)
+            if out := inflater.decompress(data, step):
+                yield out
+            data = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+    if out := inflater.flush():
+        yield out
+    if not inflater.eof:
+        raise ValueError("the compressed archive breaks off")
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """(headers by lower-case name, block) of each record of an archive that comes in parts; one record is held at a time. Raises ValueError if the bytes are no archive."""
+    held, source, ended = bytearray(), iter(parts), False
+
+    def more() -> bool:
+        nonlocal ended
+        part = next(source, None)
+        ended = part is None
+        held.extend(part or b"")
+        return not ended
+
+    while held or more():
+        at = 0
+        while (end := held.find(CRLF + CRLF, max(0, at - 3))) < 0:
+            at = len(held)
+            if not more():
+                raise ValueError("a record's headers do not end")
+        first, *lines = bytes(held[:end]).split(CRLF)
         if not first.startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record where {bytes(first[:40])!r} stands")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
-        at, size = end + 4, int(headers[b"content-length"])
-        if archive[at + size : at + size + 4] != CRLF + CRLF:
+        size = int(headers[b"content-length"])
+        begin = end + 4
+        while len(held) < begin + size + 4 and more():
+            pass
+        if held[begin + size : begin + size + 4] != CRLF + CRLF:
             raise ValueError(f"record of {size} bytes without its end")
-        yield headers, archive[at : at + size]
-        at += size + 4
+        yield headers, bytes(held[begin : begin + size])
+        del held[: begin + size + 4]
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = 32 << 10) -> None:
@@ -144,6 +182,15 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def distinct(segments: list[tuple[int, int | None, bytes]], origin: str = "") -> list[tuple[int, int | None, bytes]]:
+    """The segments without equal copies. Raises ValueError if two that differ have one number."""
+    found: dict[int, tuple] = {}
+    for s in segments:
+        if found.setdefault(s[0], s) != s:
+            raise ValueError(f"{origin}: two different segments {s[0]}")
+    return list(found.values())
+
+
 def joined(segments: list[tuple[int, int | None, bytes]], origin: str = "") -> bytes:
     """The block of (segment number, total length, part) rows in any order. Raises ValueError unless all are there."""
     ordered = sorted(segments, key=lambda s: s[0])
@@ -176,7 +223,7 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 out, held = [], 0
-                for h, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                for h, block in parse(inflated(content)):
                     kind, number = h[b"warc-type"].decode(), h.get(b"warc-segment-number")
                     origin = h.get(b"warc-segment-origin-id", h[b"warc-record-id"])
                     refers = page_of(h[b"warc-refers-to"]) if b"warc-refers-to" in h else None
@@ -212,7 +259,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 heads = [r for r in rows if r["segment"] == 1]
                 if not heads:
                     raise ValueError(f"{origin}: its first segment is missing")
-                block = joined(list({r["segment"]: (r["segment"], r["total"], r["payload"]) for r in rows}.values()), origin)
+                block = joined(distinct([(r["segment"], r["total"], r["payload"]) for r in rows], origin), origin)
                 payload = _checked(heads[0]["declared"], payload_of(block), origin)
                 out += [(r["page_id"], r["url"], r["record_type"], None, r["declared"], payload) for r in heads]
             yield _batch(out, _RECORD)

@@ -1,7 +1,9 @@
 """WARC: exact round trips."""
 
 import base64
+import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -44,3 +46,43 @@ def test_reassembly_checks():
         W.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
     for payload in (b"", b"x", b"\r\n0\r\n\r\n" * 3000):
         assert W.dechunked(W.chunked(payload)) == payload
+
+
+def archive(pages, segment_bytes=1000):
+    return [r + W.CRLF for page_id, payload in pages for r in W.records(page_id, "u", payload, None, False, segment_bytes)]
+
+
+def test_archives_of_others(spark, tmp_path):
+    rng = random.Random(4)
+    pages = [(i, rng.randbytes(rng.choice((0, 10, 900, 5000, 200_000)))) for i in range(20)]
+    records = archive(pages)
+    rng.shuffle(records)  # segments in any order, over several archives
+    (tmp_path / "plain.warc").write_bytes(b"".join(records[:200]))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records[200:500])))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records[500:])) + b"\0" * 20)
+    got = {r.page_id: bytes(r.payload) for r in W.read(spark, str(tmp_path)).collect()}
+    assert got == dict(pages)
+
+
+def test_parts_of_any_size_are_parsed():
+    records = archive([(1, b"a" * 3000), (2, b""), (3, b"\r\n\r\nWARC/1.1\r\n" * 50)])
+    whole = b"".join(records)
+    want = list(W.parse([whole]))
+    assert len(want) == len(records)
+    for step in (1, 7, 100, 4096):
+        assert list(W.parse(whole[i : i + step] for i in range(0, len(whole), step))) == want
+    packed = gzip.compress(whole[:5000]) + gzip.compress(whole[5000:])
+    assert list(W.parse(W.inflated(packed, step=64))) == want
+    for bad in (whole[:-1], whole[:-30], b"nothing of the kind\r\n\r\n", whole + b"x"):
+        with pytest.raises(ValueError):
+            list(W.parse([bad]))
+    with pytest.raises(ValueError):
+        list(W.inflated(packed[:-9]))
+
+
+def test_differing_segments_of_one_number_are_an_error():
+    parts = [(1, None, b"a"), (2, 3, b"bc")]
+    assert W.joined(W.distinct([*parts, *parts])) == b"abc"
+    for other in ((1, None, b"x"), (2, 4, b"bc")):
+        with pytest.raises(ValueError):
+            W.distinct([*parts, other])
