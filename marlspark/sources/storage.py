@@ -56,6 +56,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in filesystem(spark, path).listStatus(path_of(spark, path))] if exists(spark, path) else []
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    return filesystem(spark, path).getContentSummary(path_of(spark, path)).getLength()
+
+
 def make_dirs(spark: SparkSession, path: str) -> None:
     filesystem(spark, path).mkdirs(path_of(spark, path))
 
