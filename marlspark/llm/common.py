@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import delete, scratch, written
+from ..sources.storage import delete, scratch, size, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+#: A table of fewer bytes for each core than Spark gives a split is dealt out to all cores before work on its texts.
+SPREAD_BYTES = 4 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """``table``, dealt out by its first column if it is so small that its file is one task otherwise.
+
+    The work on a text is far dearer than moving it; of a table that has a split
+    for each core nothing is moved.
+    """
+    df, cores = table(spark, sf_dir, name, *columns), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, columns[0]) if size(spark, f"{sf_dir}/{name}.parquet") < cores * SPREAD_BYTES else df
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
     """``fn`` maps each Arrow batch to the output columns (lists or arrays of one length)."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, line_dedup, packing, quality_crf, quality_rules, secret_scan, simhash, toxicity, warc
-from .common import table
+from .common import table, texts
 
 
 def tokenizer_path() -> str:
@@ -19,46 +19,46 @@ def tokenizer_path() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("matches")
+    return license_scan.scan(texts(spark, sf_dir, "documents", "doc_id", "text")).drop("matches")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.round_trip(texts(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return simhash.near_duplicates(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    done = line_dedup.dedup(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return done.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "line_dedup.removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "text")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontaminate.leaks(texts(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    return packing.packed(texts(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secret_scan.scan(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return quality_rules.judge(texts(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 OPERATORS = (op1_license_scan, op2_quality, op3_warc, op4_simhash, op5_line_dedup, op6_decontaminate, op7_packing, op8_toxicity, op9_secret_scan, op10_quality_rules)
