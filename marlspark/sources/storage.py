@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -86,8 +89,9 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(filesystem(spark, path).makeQualified(beside), target, options)
 
 
-#: The scratch folders of this process that are still there.
+#: The scratch folders of this process that are still there; in a scope, those made in it.
 _MADE: set[str] = set()
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -96,9 +100,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     make_dirs(spark, path)
     filesystem(spark, path).deleteOnExit(path_of(spark, path))
     _MADE.add(path)
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
     return path
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders that are made in it at its end, when what was read from them has been used up."""
+    outer, made = _SCOPE.get(), []
+    _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.set(outer)
+        for path in made:
+            _MADE.discard(path)
+            delete(spark, path)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes all scratch folders made so far, and says how many: for a long driver, once it has used the results that were read from them."""
     done = [_MADE.pop() for _ in range(len(_MADE))]

@@ -443,7 +443,13 @@ def test_a_neighbour_folder_is_not_the_databases(spark, tmp_path):
 def test_scratch_folders_can_be_released(spark):
     from marlspark.sources import storage
 
+    with storage.scope(spark):
+        inner = storage.scratch(spark, "test")
+        with storage.scope(spark):
+            innermost = storage.scratch(spark, "test")
+        assert not storage.exists(spark, innermost) and storage.exists(spark, inner)
     path = storage.scratch(spark, "test")
+    assert not storage.exists(spark, inner) and storage.exists(spark, path)
     assert storage.release(spark) >= 1 and not storage.exists(spark, path) and storage.release(spark) == 0
 
 
