@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import delete, scratch, size, written
+from ..sources.storage import delete, scope, scratch, size, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -46,6 +47,17 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], s
     return df.mapInArrow(run, schema)
 
 
+def scoped(fn: Callable) -> Callable:
+    """For a function of a DataFrame that is done when it returns: the tables it has written go then."""
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args: object, **kwargs: object) -> object:
+        with scope(df.sparkSession):
+            return fn(df, *args, **kwargs)
+
+    return run
+
+
 def utf8(column: str) -> Column:
     """The column's UTF-8 bytes, null as empty, for workers that need no text."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(column)

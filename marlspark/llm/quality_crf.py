@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, fresh, id_crc, id_crc_column, labelled_sample, utf8, written
+from .common import by_batch, fresh, id_crc, id_crc_column, labelled_sample, scoped, utf8, written
 
 #: Bounds on what is learned from: documents of each label, and lines in all.
 TRAIN_DOCS, TRAIN_LINES = 2000, 200_000
@@ -224,6 +224,7 @@ def lines_each(counted: list[tuple[int, int]], total: int) -> int:
     return low
 
 
+@scoped
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Model:
     """Learns from ``labels(doc_id, quality)`` of documents outside the held-out fifth.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, id_crc, id_crc_column, labelled_sample, utf8
+from .common import by_batch, id_crc, id_crc_column, labelled_sample, scoped, utf8
 
 #: Bound on what is learned from: documents of each label.
 TRAIN_DOCS = 2500
@@ -193,6 +193,7 @@ def curve(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> list[float]:
     return w.tolist()
 
 
+@scoped
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
     """Learns from ``labels(doc_id, toxic)`` of documents outside the held-out third, ``train_docs`` of each label at most.
 
