@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspark.llm import decontaminate, line_dedup, packing, quality_crf, simhash
-from marlspark.llm.common import table, texts, written
+from marlspark.llm.common import table, texts
 from marlspark.llm.registry import tokenizer_path
+from marlspark.sources.storage import delete, scope, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -76,8 +77,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
-    docs = texts(spark, sf_dir, "documents", *COLUMNS)
+    """All stages over the documents, each written to the shared folder and read again.
+
+    When a stage is written, what it and the one before have left there goes.
+    """
+    docs, before = texts(spark, sf_dir, "documents", *COLUMNS), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
+        with scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.mode("overwrite").parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
