@@ -94,6 +94,24 @@ def sifted(df: DataFrame, key: Column, words: DataFrame, how: str = "left_semi",
     return df.join(F.broadcast(words.select(F.col("word").alias(word), F.col("mask").alias(mask))), (F.shiftright(place, 6) == F.col(word)) & hit, how)
 
 
+#: A key is hot if it has more than one in so many rows, so there are no more hot keys than that.
+HOT_SHARE = 10_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, a written table that has one row for a key and in ``count`` how many rows of ``big`` have it.
+
+    Hot keys, of which there are at most ``HOT_SHARE``, are broadcast, so that their
+    rows stay where they are; only the rows of the others are shuffled. ``count`` is
+    not in the result.
+    """
+    bound = small.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot, cold = (small.filter(F.col(count) > bound // HOT_SHARE), small.filter(F.col(count) <= bound // HOT_SHARE))
+    often = big.join(F.broadcast(hot.drop(count)), keys)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.drop(count), keys)
+    return often.unionByName(rest)
+
+
 def text_hash() -> Column:
     """A hash of the column ``text``, null as empty."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, components, fresh, row_key, sieve, sifted, text_hash, utf8, written
+from .common import by_batch, components, fresh, join_hot, row_key, sieve, sifted, text_hash, utf8, written
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -162,12 +162,12 @@ def grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048
     """Per row of ``docs(doc_id, text)``: doc_id, th (a hash of the text), print, root (names the component) and component_id."""
     found = written(fingerprints(docs, shingle), "simhash-prints")
     # one row for each fingerprint, whatever the number of copies
-    nodes = written(found.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = written(found.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("print"), radius, tile), "simhash-links")
-    placed = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    placed = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", "n", F.coalesce("root", "print").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    owned = placed.join(smallest, "root").select("print", "root", "component_id")
-    return found.join(owned, "print")
+    owned = written(placed.join(smallest, "root").select("print", "root", "component_id", "n"), "simhash-owned")
+    return join_hot(found, owned, ["print"], "n")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048) -> DataFrame:
@@ -185,10 +185,9 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 204
     """
     found = written(grouped(docs, radius, shingle, tile), "simhash-groups")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
-    # written, so that the join has shuffles of its own and a large component's rows can be split
-    kept = written(found.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "kept"), "simhash-kept")
+    kept = written(found.groupBy("root").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-kept")
     one, two = fresh(docs, "rival_id"), fresh(docs, "rival_th")
-    rivals = written(found.join(kept, "root").select(F.col("doc_id").alias(one), F.col("th").alias(two), F.col("kept").eqNullSafe(place).alias("stays")), "simhash-rivals")
+    rivals = written(join_hot(found, kept, ["root"], "n").select(F.col("doc_id").alias(one), F.col("th").alias(two), F.col("kept").eqNullSafe(place).alias("stays")), "simhash-rivals")
     words = written(sieve(rivals.select(F.xxhash64(one, two).alias("hash"))), "simhash-sieve")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (text_hash() == F.col(two))
     left = sifted(docs, row_key(), words).join(rivals.filter("not stays").select(one, two).distinct(), same, "left_anti")

@@ -48,3 +48,19 @@ def test_a_cluster_needs_the_setting():
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Cluster())
+
+
+def test_hot_keys_are_joined_like_others(spark, tmp_path, monkeypatch):
+    from marlspark.llm import common
+
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, None, 2, 3, *range(10, 60)]), i) for i in range(3000)]
+    big = spark.createDataFrame(rows, "k long, i int")
+    big.groupBy("k").count().filter("count > 1").selectExpr("k", "k * 2 as twice", "count as n").write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    want = sorted((k, i, k * 2) for k, i in rows if k is not None)
+    for share in (1, 20, 10_000):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = common.join_hot(big, small, ["k"], "n")
+        assert got.columns == ["k", "i", "twice"] and sorted(map(tuple, got.collect())) == want
+    assert common.join_hot(big.limit(0), small.limit(0), ["k"], "n").count() == 0
