@@ -16,7 +16,8 @@ lines on either side are equal too, and matches that touch grow together into th
 maximal repeated run. All lines of a repeated run are deleted but for its first
 occurrence, in the order of doc_id and line. The occurrences of a fingerprint are
 dealt out by what surrounds it, so that a line that stands in very many texts is
-no group of one task, and no pairs of occurrences are formed.
+no group of one task; those of a passage that does are aggregated before they are
+shuffled and then stay where they are. No pairs of occurrences are formed.
 
 Defined cases: null and empty texts have no lines and stay as they are. Lines
 without a word are kept. Within one text, a run that overlaps its own first
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, fresh, row_key, sieve, sifted, text_hash, utf8, written
+from .common import by_batch, fresh, join_hot, row_key, sieve, sifted, text_hash, utf8, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -100,10 +101,10 @@ def repeated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     met = met.select("doc_id", "th", "print", F.explode(F.arrays_zip("around", "first", "last")).alias("w")).select("doc_id", "th", "print", "w.around", "w.first", "w.last")
     key = ["print", "around"]
     place = F.struct("doc_id", "th", "first", "last")
-    # written, so that the join has shuffles of its own and the rows of a frequent passage can be split
-    again = written(met.groupBy(*key).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-origins")
+    again = written(met.groupBy(*key).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-origins")
     later = (~F.col("doc_id").eqNullSafe(F.col("origin.doc_id"))) | (F.col("th") != F.col("origin.th")) | (F.col("first") > F.col("origin.last"))
-    return met.join(again, key).filter(later).select("doc_id", "th", "first", "last", F.col("origin.doc_id").alias("first_doc"))
+    # the occurrences of a frequent passage stay where they are
+    return join_hot(met, again, key, "n").filter(later).select("doc_id", "th", "first", "last", F.col("origin.doc_id").alias("first_doc"))
 
 
 def _clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
