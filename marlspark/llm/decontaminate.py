@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import SIEVE_BITS, by_batch, fresh, sieve, sifted, text_hash, utf8, written
 
 WIDTH, SIMILARITY = 5, 0.8
+#: A benchmark of so many windows at most (about 50 MB of them) is broadcast to the texts' windows; a larger one is joined by a shuffle.
+BROADCAST_WINDOWS = 300_000
 #: Fewer literal tokens than this in a window say too little.
 LEAST_LITERALS = 3
 
@@ -270,10 +272,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity:
     n = F.size("ranked")
     grouped = grouped.withColumn("probe", F.expr(f"slice(ranked, 1, size(ranked) - cast(ceil({similarity} * size(ranked) - 1e-9) as int) + 1)")).withColumn("n_windows", n.cast("long"))
     grouped = written(grouped.withColumn("item_key", F.xxhash64(*name)), "benchmark-items")
-    probes = grouped.select("item_id", "ih", "item_key", F.explode("probe.hash").alias("hash"))
+    near = F.broadcast if items.count() <= BROADCAST_WINDOWS else lambda x: x  # so a frequent window's texts need no shuffle
+    probes = near(grouped.select("item_id", "ih", "item_key", F.explode("probe.hash").alias("hash")))
     seen = texts.select("doc_id", "th", F.explode(F.array_distinct("windows.hash")).alias("hash"))
     pairs = seen.join(probes, "hash").select("doc_id", "th", *name, "item_key").distinct()
-    its = grouped.select(*(F.col(c).alias(f"i_{c}") for c in (*name, "item_key")), "width", "item", "ranked", "n_windows")
+    its = near(grouped.select(*(F.col(c).alias(f"i_{c}") for c in (*name, "item_key")), "width", "item", "ranked", "n_windows"))
     pairs = pairs.join(its, (F.col("item_key") == F.col("i_item_key")) & F.col("item_id").eqNullSafe(F.col("i_item_id")) & (F.col("ih") == F.col("i_ih"))).select(pairs["doc_id"].alias("d"), pairs["th"].alias("h"), "item_id", "width", "item", "ranked.hash", "n_windows")
     # of a text only the windows that the item has
     own = F.filter("windows", lambda w: F.array_contains("hash", w["hash"]))
