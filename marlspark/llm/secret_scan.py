@@ -237,9 +237,9 @@ class Stream:
         self.inflater = self.inner = None
         self.rest = self.buffer = b""
         self.size, self.digest, self.decoder, self.is_text = 0, hashlib.blake2b(digest_size=16), codecs.getincrementaldecoder("utf-8")(), True
-        # a base64 run that is longer than a piece: the stream of its bytes, and its characters that do not fill a group
-        self.long: Stream | None = None
-        self.group = b""
+        # a base64 run that is longer than a piece: for each place where base64 may begin in it, the stream of its bytes
+        # and its characters that do not fill a group
+        self.long: list[tuple[Stream, bytes]] = []
 
     def feed(self, data: bytes) -> None:
         if self.head is not None:
@@ -305,24 +305,31 @@ class Stream:
         if not self.long:
             runs = [m for m in _BASE64_RUN.finditer(self.buffer, max(0, len(self.buffer) - PIECE)) if m.end() == len(self.buffer) and m.end() - m.start() > OVERLAP and m[0][-1:] != b"="]
             if runs:
-                self.long, self.group = Stream(self.hidden, self.depth + 1), b""
-                self._go_on(runs[0][0])
+                run = runs[0][0]
+                for at in starts(run):
+                    # a compressed stream that ends in the run so far has been read to its end
+                    if not (at and _packed(_bytes(run[at : at + 4])) and _complete(_bytes(run[at:]))):
+                        self.long.append(self._fed(Stream(self.hidden, self.depth + 1), run[at:]))
         self.buffer = self.buffer[-OVERLAP:]
 
+    @staticmethod
+    def _fed(stream: Stream, group: bytes) -> tuple[Stream, bytes]:
+        full = len(group) // 4 * 4
+        stream.feed(_bytes(group[:full]))
+        return stream, group[full:]
+
     def _go_on(self, data: bytes) -> None:
         """The next part of a long base64 run, or its end."""
         more = _RUN_GOES_ON.match(data)[0]
-        self.group += more
-        full = len(self.group) // 4 * 4
-        self.long.feed(_bytes(self.group[:full]))
-        self.group = self.group[full:]
+        self.long = [self._fed(stream, group + more) for stream, group in self.long]
         if len(more) < len(data):
             self._close()
 
     def _close(self) -> None:
-        self.long.feed(_bytes(self.group))
-        self.kinds |= self.long.end()
-        self.long = None
+        for stream, group in self.long:
+            stream.feed(_bytes(group))
+            self.kinds |= stream.end()
+        self.long = []
 
     def _scan(self, piece: bytes) -> None:
         work, seen = [piece], set()

@@ -167,6 +167,21 @@ def test_secret_compressed_layers_are_read_to_the_end():
         assert (2, 0, len(text) - 2) in S.spans(text)[1], name
 
 
+def test_secret_behind_a_boundary_of_a_run_longer_than_a_piece(monkeypatch):
+    # smaller pieces, for a shorter run
+    monkeypatch.setattr(S, "PIECE", 1 << 16)
+    monkeypatch.setattr(S, "OVERLAP", 1 << 10)
+    monkeypatch.setattr(S, "CHUNK", 1 << 14)
+    inner = b" password=hunter2hunter2 "
+    # as no deflated stream holds it as it is
+    noise = bytes(random.Random(1).choices(b"ghijklmnopqrstu", k=300_000))
+    for path in (b"ab/", b"abc_", b"x/yz/"):
+        for raw in (noise + inner, gzip.compress(noise + inner)):
+            layer = gzip.compress(b"x " + path + base64.b64encode(raw).rstrip(b"=") + b" y")
+            code = base64.b64encode(layer).decode().rstrip("=")
+            assert (2, 0, 2 + len(code)) in S.spans(f"a {code} b")[1], (path, raw[:2])
+
+
 def test_secret_deep_and_endless_layers_end():
     deep = base64.b64encode(b"%" + b"25" * 3000 + b"41").decode()
     assert S.spans(deep)[2] >= 3000
