@@ -52,7 +52,7 @@ class Words:
     # letters that the tokenizer lower-cases one by one as Python does, then signs without apostrophe, digit or white space
     _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
