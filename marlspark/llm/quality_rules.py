@@ -43,7 +43,7 @@ _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def _count(text: Column, pattern: str) -> Column:
-    """How many single characters of the text match, without a list of them."""
+    """How many single characters of the text match."""
     return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
 
 
@@ -65,10 +65,10 @@ def counts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("windows", F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, 5)))))
     # only where one occurs again: (window, place) in order, so that equal ones are neighbours
     again = F.size(F.array_distinct("windows")) < F.size("windows")
-    rows = rows.withColumn("ordered", F.when(again, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    rows = rows.withColumn("ordered", F.when(again, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     equal = lambda x, k: F.coalesce(F.get("ordered", k)["h"] == x["h"], F.lit(False))
     twice = F.transform("ordered", lambda x, k: F.when(equal(x, k - 1) | equal(x, k + 1), x["i"]))
-    rows = rows.withColumn("places", F.array_sort(F.filter(twice, lambda i: i.isNotNull())))
+    rows = rows.withColumn("places", F.sort_array(F.filter(twice, lambda i: i.isNotNull())))
     # each place adds the words up to the next place, five at most
     added = F.transform("places", lambda i, k: F.least(F.lit(5), F.coalesce(F.get("places", k + 1) - i, F.lit(5))))
     common = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
