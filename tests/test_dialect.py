@@ -162,6 +162,46 @@ def test_joins(s):
     assert "SortMergeJoin" in frame._jdf.queryExecution().toString() and len(frame.collect()) == 2
 
 
+def test_large_product_is_streamed(spark):
+    """join_bushy beyond Spark's broadcasts: no side of the product is held as a whole, and all cores take part."""
+    from marlspark import queries
+
+    sf, kept = "/root/testdata/sf0.1", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        frame = queries.QUERIES["join_bushy"](spark, sf)
+        assert frame.rdd.getNumPartitions() >= 4
+        counted = frame.selectExpr("count(*)", "sum(hash(r_name, n_name) % 1000 * (s_suppkey + 7 * c_custkey % 13))")
+        (n, total), plan = counted.collect()[0], counted._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
+    # the sides' own sums: the product is of all rows of the one with all rows of the other
+    region, nation, supplier, customer = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("region", "nation", "supplier", "customer"))
+    a = region.join(nation, region.r_regionkey == nation.n_regionkey).selectExpr("count(*)", "sum(hash(r_name, n_name) % 1000)").first()
+    b = supplier.join(customer, supplier.s_nationkey == customer.c_nationkey).selectExpr("count(*)", "sum(s_suppkey + 7 * c_custkey % 13)").first()
+    assert (n, total) == (a[0] * b[0], a[1] * b[1])
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_products_of_any_size(s, spark, monkeypatch, threshold):
+    """The same rows as from small products: of joined groups in any order, single tables, empty ones, with and without broadcasts."""
+    from marlspark.operators import join
+
+    s.script("create table a (x int, p char(2)); create table b (y int, x int); create table c (z float); create table d (w int, v int); create table e (u int);")
+    s.script("insert into a values (1, 'a'); insert into a values (2, 'b'); insert into b values (1, 10); insert into b values (2, 20); insert into b values (2, 30); insert into c values (1.0); insert into c values (2.5); insert into d values (10, 1); insert into d values (20, 2);")
+    texts = ["select * from a, c;", "select * from c, a, d;", "select * from a, b, c where a.x = y;", "select * from c, a, b, d where a.x = y;", "select p, b.x, z, v from c, d, a, b where a.x < y and z > v;", "select * from a, d, e;", "select count(*) as n, sum(w) as t from a, d;", "select p, z from a, c order by p desc, z limit 3;"]
+    want = [sorted(map(tuple, s.frame(t).collect())) for t in texts]
+    assert list(map(len, want)) == [4, 8, 6, 12, 4, 0, 1, 3]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(join, "LARGE_PRODUCT", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert [sorted(map(tuple, s.frame(t).collect())) for t in texts] == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_unique_indexes(s):
     s.script("create table w (id int, k char(4), v int); create index w (id); create index w (k, v);")
     out = s.script("insert into w values (1, 'a', 1); insert into w values (2, 'a', 2); insert into w values (1, 'z', 9); insert into w values (3, 'a', 2); update w set id = 2 where id = 1; update w set v = 2; select * from w order by id; show index from w;")
